@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, url_filter
+from . import decontaminate, line_dedup, url_filter
 from .common import read
 
 
@@ -12,11 +13,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op6_line_dedup, op9_decontaminate)}
 
 ORACLES = {
     "op3_url_filter": r"""
@@ -28,6 +34,14 @@ r(h, q, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow
 best AS (SELECT host, path, max_by(h || q, length(h || q)) AS rule, max_by(action, length(h || q)) AS action
          FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY host, path)
 SELECT page_id, p.host, p.path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path
+""",
+    "op6_line_dedup": r"""
+WITH l AS (SELECT rowid AS r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+hot AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, hot.key IS NOT NULL AND k.doc_id IS DISTINCT FROM hot.last AS dropped FROM k LEFT JOIN hot ON k.key = hot.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256 FROM m GROUP BY r
 """,
     "op9_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

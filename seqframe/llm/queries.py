@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, url_filter
+from . import bpe, decontaminate, line_dedup, url_filter
 from .common import read
 
 
@@ -13,6 +13,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def tokenizer() -> tuple[str, str]:
+    """The rank file and the pattern that op5 and the pipeline use; both are parameters of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer())
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -22,7 +33,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op6_line_dedup, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op5_bpe, op6_line_dedup, op9_decontaminate)}
 
 ORACLES = {
     "op3_url_filter": r"""

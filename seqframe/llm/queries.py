@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, url_filter
+from . import bpe, decontaminate, line_dedup, minhash, url_filter
 from .common import read
 
 
@@ -13,6 +13,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(read(spark, sf_dir, "documents"))
+
+
 def tokenizer() -> tuple[str, str]:
     """The rank file and the pattern that op5 and the pipeline use; both are parameters of the operator."""
     import public_tokenizers
@@ -33,7 +37,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op5_bpe, op6_line_dedup, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_minhash, op5_bpe, op6_line_dedup, op9_decontaminate)}
 
 ORACLES = {
     "op3_url_filter": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, minhash, url_filter
+from . import bpe, decontaminate, line_dedup, minhash, substring_dedup, url_filter
 from .common import read
 
 
@@ -37,7 +37,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_minhash, op5_bpe, op6_line_dedup, op9_decontaminate)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_minhash, op5_bpe, op6_line_dedup, op9_decontaminate, op10_suffix_dedup)}
 
 ORACLES = {
     "op3_url_filter": r"""

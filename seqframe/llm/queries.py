@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, minhash, substring_dedup, url_filter
+from . import bpe, decontaminate, line_dedup, minhash, quality_cnn, substring_dedup, url_filter
 from .common import read
 
 
+def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -42,7 +46,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_minhash, op5_bpe, op6_line_dedup, op9_decontaminate, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_cnn, op3_url_filter, op4_minhash, op5_bpe, op6_line_dedup, op9_decontaminate, op10_suffix_dedup)}
 
 ORACLES = {
     "op3_url_filter": r"""

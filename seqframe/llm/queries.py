@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, line_dedup, minhash, quality_cnn, substring_dedup, url_filter
+from . import bpe, decontaminate, html_extract, line_dedup, minhash, quality_cnn, quality_rules, substring_dedup, url_filter
 from .common import read
 
 
@@ -37,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("reasons")
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_cnn, op3_url_filter, op4_minhash, op5_bpe, op6_line_dedup, op8_html_extract, op9_decontaminate, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_cnn, op3_url_filter, op4_minhash, op5_bpe, op6_line_dedup, op7_quality_rules, op8_html_extract, op9_decontaminate, op10_suffix_dedup)}
 
 ORACLES = {
     "op3_url_filter": r"""

@@ -340,24 +340,29 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep=("doc_id",)) -> Dat
     return source.mapInArrow(run, out)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Encode, then decode as a stream: the columns in `keep`, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep=("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Encode, then decode as a stream: the columns in `keep`, n_tokens, ids_sha256, decoded_sha256, and ids if wanted."""
     source = _source(docs, text_col, keep)
-    out = T.StructType([*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    out = T.StructType([*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)])
     arrow = to_arrow_schema(out)
 
     def run(batches):
         tokenizer = Tokenizer.open(path, pattern)
         for batch in _rows(batches):
-            sizes, names, texts = [], [], []
+            sizes, names, texts, held = [], [], [], [np.zeros(0, np.int32)]
             for text in column(batch, "__text").to_pylist():
                 ids = tokenizer.encode(text or "")
                 sizes.append(len(ids))
+                if with_ids:
+                    held.append(ids.view(np.int32))
                 names.append(hashlib.sha256(tokenizer.decimal(ids).encode()).hexdigest())
                 seen = hashlib.sha256()
                 for part in tokenizer.decode_stream(ids):
                     seen.update(part.encode())
                 texts.append(seen.hexdigest())
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(texts, pa.string())], schema=arrow)
+            made = [pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(texts, pa.string())]
+            if with_ids:
+                made.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate(held))))
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), *made], schema=arrow)
 
     return source.mapInArrow(run, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, line_dedup, minhash, quality_cnn, quality_rules, substring_dedup, url_filter
+from . import bpe, decontaminate, html_extract, license_scan, line_dedup, minhash, quality_cnn, quality_rules, substring_dedup, url_filter
 from .common import read
 
 
@@ -13,6 +13,12 @@ def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    joined = lambda field: F.array_join(F.transform("found", lambda x: x[field].cast("string")), ",")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), joined("license").alias("licenses"), joined("first").alias("first_chars"), joined("coverage").alias("coverages"), F.array_join(F.flatten("found.differences"), "; ").alias("differences"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -54,7 +60,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_cnn, op3_url_filter, op4_minhash, op5_bpe, op6_line_dedup, op7_quality_rules, op8_html_extract, op9_decontaminate, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_cnn, op2_license_scan, op3_url_filter, op4_minhash, op5_bpe, op6_line_dedup, op7_quality_rules, op8_html_extract, op9_decontaminate, op10_suffix_dedup)}
 
 ORACLES = {
     "op3_url_filter": r"""

@@ -3,18 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqframe.llm import decontaminate
+from seqframe.llm import bpe, decontaminate, line_dedup, minhash, quality_cnn
 from seqframe.llm.common import Scratch, read
+from seqframe.llm.queries import tokenizer
 
 
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_cnn.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go, but for one; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return minhash.keep_one(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontamination", benchmark_decontamination)]
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's ids, and the digest of what they decode to."""
+    return bpe.round_trip(docs, *tokenizer(), keep=("doc_id", "lang", "source"), with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", repeated_lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("byte-level BPE", token_ids),
+]
 
-#: A trained classifier and a sketch have no SQL form; tests hold each stage against a brute-force version.
+#: A trained classifier and signatures have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import PACKED_STRUCT, col
+from ..schema import col
 
 # Code order; all other residues share the last code, which reads as X.
 BASES, RESIDUES = "ACGT", "ARNDCQEGHILKMFP"
@@ -30,12 +31,12 @@ def unpack_dna_bytes(data: bytes, n: int) -> str:
     return _LETTERS[raw.ravel()[:n]].tobytes().decode()
 
 
-@F.pandas_udf(PACKED_STRUCT)
+@F.pandas_udf(T.StructType([T.StructField("data", T.BinaryType()), T.StructField("len", T.IntegerType())]))
 def _pack_dna(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"data": [None if x is None else pack_dna_bytes(x) for x in s], "len": [0 if x is None else len(x) for x in s]})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unpack_dna(packed: pd.DataFrame) -> pd.Series:
     return pd.Series([None if d is None else unpack_dna_bytes(bytes(d), int(n)) for d, n in zip(packed["data"], packed["len"], strict=True)])
 

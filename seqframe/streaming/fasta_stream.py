@@ -11,7 +11,7 @@ from ..sources.fasta import parse_fasta
 
 def stream_fasta(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """id, description, seq of FASTA files as they arrive; a file is read whole, as one batch's row."""
-    files = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", max_files).text(folder)
+    files = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
     return files.select(F.inline(parse_fasta("value")))
 
 

@@ -176,9 +176,10 @@ def find_spans(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Rows of docs, all their columns, that share no window with an item."""
-    names = docs.columns
-    found = find_spans(docs, items, keep=tuple(names), **options)
-    return found.filter(F.size("items") == 0).select(*names)
+    text = options.get("text_col", "text")
+    hidden = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text))
+    found = find_spans(hidden, items, keep=("__row",), **options)
+    return found.filter(F.size("items") == 0).select("__row.*")
 
 
 def digest(found: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

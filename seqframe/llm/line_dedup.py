@@ -174,7 +174,8 @@ class LineIndex:
         return held.withColumn("shard", shard_of("key", shards)).mapInArrow(probe, "key binary, doc_id long")
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-        """docs with the lines gone from text_col, and the new columns n_lines and n_dropped."""
+        """docs with the lines gone from text_col, and the columns n_lines and n_dropped (in place of any of these names)."""
+        docs = docs.drop("n_lines", "n_dropped")
         lost = self._candidates(docs, id_col, text_col, broadcast_bytes).join(self.hot, "key").filter(F.col("doc_id") != F.col("last"))
         lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc_id", "__id")
         # Rows without an id lose every line of a frequent key; their keys have to be found in the text again.

@@ -183,8 +183,8 @@ class LineIndex:
         nameless = docs.filter(F.col(id_col).isNull())
         if nameless.limit(1).count():
             own = postings(nameless.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text")), min_chars=self.min_chars)
-            own = own.distinct().join(self.hot.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("__more"))
-            joined = joined.join(own, F.col(id_col).isNull() & (F.xxhash64(text_col) == own["doc_id"]), "left").withColumn("__keys", F.coalesce("__keys", "__more")).select(*docs.columns, "__keys")
+            own = own.distinct().join(self.hot.select("key"), "key", "left_semi").groupBy(F.col("doc_id").alias("__own")).agg(F.collect_set("key").alias("__more"))
+            joined = joined.join(own, F.col(id_col).isNull() & (F.xxhash64(text_col) == F.col("__own")), "left").withColumn("__keys", F.coalesce("__keys", "__more")).select(*docs.columns, "__keys")
         return _strip(joined, docs.schema, text_col, self.min_chars)
 
 

@@ -64,9 +64,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive words; those that cross texts are for the caller to leave out."""
-    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    m = max(0, len(hashes) - n + 1)
+    out = np.zeros(m, np.uint64)
     for i in range(n):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[i : len(hashes) - n + 1 + i]
+        out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + m]
     return mix(out)
 
 

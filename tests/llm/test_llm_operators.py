@@ -75,14 +75,18 @@ def brute_classes(rows, threshold=0.8):
 key = lambda r: tuple((x is None, x) for x in r)
 
 
-def test_minhash(spark):
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_minhash(spark, monkeypatch, crowd):
+    monkeypatch.setattr(minhash, "CROWD", crowd)  # at 2 every bucket goes through the prefix filter
     rows = made_rows()
     got = minhash.classes(docs(spark, rows)).collect()
     assert sorted(map(tuple, got), key=key) == sorted(brute_classes(rows), key=key)
 
 
-def test_minhash_chain_without_a_hub(spark):
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_minhash_chain_without_a_hub(spark, monkeypatch, crowd):
     """Neighbours are similar, ends are not: one class; a star of copies around a base that are unlike each other, too."""
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     words_ = [f"w{i}" for i in range(100)]
     chain = [(i, " ".join(words_[:100] if i == 0 else words_[5 * i :] + [f"x{j}" for j in range(5 * i)])) for i in range(8)]
     rng = random.Random(2)

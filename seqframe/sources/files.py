@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,9 @@ def file_chunks(size, chunk) -> Column:
     size, chunk = (x if isinstance(x, Column) else F.lit(x) for x in (size, chunk))
     ranges = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), chunk), lambda a: F.struct(a.alias("start"), F.least(a + chunk, size).alias("end")))
     return F.when(size > 0, ranges).otherwise(F.slice(ranges, 1, 0))
+
+
+def with_io_stats(df: DataFrame, column: str, name: str = "io") -> tuple[DataFrame, Observation]:
+    """df, and an observation that has its rows and the column's bytes after the first action on it."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")), seen

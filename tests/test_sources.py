@@ -99,3 +99,9 @@ def test_records_and_chunks(spark):
     assert df.select(api.get_metadata(F.col("m"), "date"), api.get_metadata(F.col("m"), "none")).first() == ("y", None)
     got = spark.range(1).select(files.file_chunks(1000, 300).alias("c"), files.file_chunks(0, 300).alias("e")).first()
     assert [tuple(x) for x in got["c"]] == [(0, 300), (300, 600), (600, 900), (900, 1000)] and got["e"] == []
+
+
+def test_io_stats(spark):
+    df, seen = files.with_io_stats(spark.createDataFrame([("ab",), ("é",), (None,)], "t string"), "t")
+    df.collect()
+    assert seen.get == {"rows": 3, "bytes": 4}

@@ -75,9 +75,9 @@ class Blocks:
     def _read(self, page: str) -> None:
         stack: list[tuple[str, frozenset[int]]] = [("", frozenset())]
         open_: Counter[str] = Counter()
-        at = 0
+        at, last = 0, page.rfind(">") + 1  # no tag ends later: a search never runs on in vain
         while at < len(page):
-            m = TAG.search(page, at)
+            m = TAG.search(page, at, last) if at < last else None
             if m is None or m.start() > at:
                 raw = page[at : m.start() if m else len(page)]
                 if not open_["head"]:
@@ -91,6 +91,8 @@ class Blocks:
             if m is None:
                 break
             at = m.end()
+            if page.startswith("<!--", m.start()) and page[at - 3 : at] != "-->":
+                break  # an unclosed comment
             name = (m[2] or "").lower()
             if not name:
                 continue

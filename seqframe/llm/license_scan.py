@@ -53,6 +53,7 @@ TEMPLATES = (
 #: What makes a block a candidate.
 ANCHORS = re.compile(r"licen[sc]|copyright|permission|redistribut|public domain|\bcc0?\b|spdx", re.I)
 BLOCK_WORDS, LEAST, COVERAGE, LEVEL = 200, 0.15, 0.85, 3
+EMPTY_LINE = re.compile(r"\n[ \t\r\x0b\x0c]*+\n")
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*", re.I)
 
 
@@ -77,10 +78,11 @@ class Scanner:
 
     def blocks(self, text: str) -> Iterator[tuple[int, list[str]]]:
         """(character of the start, words' spans) of candidate blocks."""
-        for m in re.finditer(r"(?:[^\n]*\S[^\n]*(?:\n|\Z))+", text):
-            if not ANCHORS.search(text, m.start(), m.end()):
+        cuts = [0, *(x for m in EMPTY_LINE.finditer(text) for x in m.span()), len(text)]
+        for start, end in zip(cuts[::2], cuts[1::2], strict=True):
+            if not ANCHORS.search(text, start, end):
                 continue
-            spans = [w.span() for w in WORD.finditer(text, m.start(), m.end())]
+            spans = [w.span() for w in WORD.finditer(text, start, end)]
             step = BLOCK_WORDS // 2
             for at in range(0, max(1, len(spans) - step), step):
                 part = spans[at : at + BLOCK_WORDS]

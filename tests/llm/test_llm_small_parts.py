@@ -234,6 +234,11 @@ def test_licenses(line, name):
     assert got == name and text[first:last] == line.rstrip(".")
 
 
+def test_license_blocks():
+    text = "a\n" + " " * 200000 + "\nb copyright\nc\n\n\n" + "\t" * 200000
+    assert [[text[a:b] for a, b in x] for x in license_scan.Scanner().blocks(text)] == [["b", "copyright", "c"]]
+
+
 def test_licenses_that_are_none():
     scan = license_scan.Scanner().scan
     for text in ("Released under the BSD License.", "The license was MIT-like.", "Permission to park is granted.", "", "\n \n", "copyright " * 500):
@@ -268,6 +273,6 @@ def test_html():
 
 
 def test_hostile_html():
-    for page in ("<a \"" * 3000, "<div>" * 20000 + "x", "</b>" * 20000, "<p" * 20000, "&#" * 1000, "<" * 50000, "x" * 300000):
+    for page in ("<a \"" * 3000, "<div>" * 20000 + "x", "</b>" * 20000, "<p" * 20000, "&#" * 1000, "<" * 50000, "<p" * 300000, "<!" * 300000, "<!--" * 100000 + ">", "x" * 300000):
         html_extract.Blocks(page)
     assert html_extract.Blocks("a<br>b  c&nbsp;d<div>e").texts == ["a b c d", "e"]

@@ -9,7 +9,7 @@ shard's text is about LENGTH + 40 bytes for 40 windows. Segments that repeat as
 by (seed, content): the earliest keeps its windows, the others lose them. What can still repeat in part are different
 segments of one seed. Their bytes, one copy of each, are the strings of the shards: seeds are packed into shards of
 about SHARD_BYTES, each shard's suffix array is made by induced sorting, and its permuted common prefixes show which
-windows are equal. A seed with more than HOT_BYTES of different segments is dealt over several shards; then the windows
+windows are equal. A seed with more than HOT_BYTES of different segments is dealt over shards of that size; then the windows
 that each shard finds first are counted by content (128 bits) in an aggregation that combines before its shuffle.
 
 Repeats within one batch of rows are settled before any shuffle, so a line that fills a document or a text that fills a
@@ -38,7 +38,7 @@ from .sais import permuted_lcp, suffix_array
 from .words import powers
 
 LENGTH, SEED = 100, 20
-SHARD_BYTES, HOT_BYTES = 1 << 19, 1 << 20
+SHARD_BYTES, HOT_BYTES = 1 << 19, 1 << 15
 BROADCAST_ROWS = 200_000
 PIECE = 1 << 23  # longer texts are read in pieces that overlap by LENGTH - 1; positions take 24 bits
 _PLACE = np.uint64((1 << 24) - 1)
@@ -255,7 +255,7 @@ def find_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, scratch
     open_ = found.filter("kind = 1")
     by_doc = open_.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("f", "start", "run")).alias("parts"))
     seeds = open_.groupBy("f").agg(F.sum(F.col("run") + length).alias("size"))
-    seeds = scratch.table(seeds.select("f", F.when(F.col("size") > hot_bytes, F.ceil(F.col("size") / shard_bytes)).otherwise(0).cast("int").alias("split"), "size"))
+    seeds = scratch.table(seeds.select("f", F.when(F.col("size") > hot_bytes, F.ceil(F.col("size") / hot_bytes)).otherwise(0).cast("int").alias("split"), "size"))
     total, most = seeds.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("split"), F.lit(0))).first()
     if not total:
         return settled

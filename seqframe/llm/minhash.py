@@ -11,10 +11,12 @@ a pair is missed with probability (1 - 0.8**5)**25 = 5e-5; at less it would not
 weighted Jaccard similarity of at least THRESHOLD, and classes are the connected components of confirmed pairs.
 
 Texts with the same words are one node from the start. In each band's bucket the pairs of all are never made: rounds
-choose leaders (the members that share most bands, one in the first round, twice as many each time), compare those with
-the members that are not in their component, and go on only with buckets that still hold two components and members that
-have not led. A bucket is finished when each of its pairs is in one component or was compared, so no link is lost between
-two components. Leaders are chosen by salted aggregation.
+choose leaders (those alone in their component first, then those with most company in their bands; up to two in the first round, sixteen times
+as many each time), compare those with the members that have not led and are in other components, and go on only with buckets whose
+members that have not led are of two components or more. A bucket is finished when each of its pairs is in one component or was
+compared, so no link is lost between two components. Left out are only pairs that cannot reach the threshold: of a text's weight,
+the elements that no other candidate has are shared with none, which bounds each pair's similarity; and in crowded buckets a pair must share
+one of its rarest elements (a prefix filter, exact). Leaders are chosen by salted aggregation.
 
 Defined cases: texts without words are a class with exactly equal texts only; null is the empty text. Rows with the same
 doc_id count as they are, each with the class of its text. class_id is the least doc_id of the class; null ids are ignored
@@ -36,6 +38,10 @@ from .components import components
 from .words import Words, grams, owner, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+FIRST_LEADERS, MORE_LEADERS = 2, 16
+CARRIED = ("share", "weight", "alone", "rare")
+CROWD, MAX_RARE = 64, 128
+KNOWN = 64  # texts of which a worker keeps the elements
 _FIRST = -6  # the first region of ranks is [0, 2**_FIRST), the following ones double
 _LAST = 40
 _cdfs: dict[float, np.ndarray] = {}
@@ -146,6 +152,34 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes_of(w, data, offsets), pa.binary()), column(batch, "text")], ["node", "text"])
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, data, offsets in slices(batches, "text"):
+        texts, hashes, weights = elements(words(data, offsets))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), column(batch, "node").take(pa.array(texts)), pa.array(weights)], ["element", "node", "weight"])
+
+
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, data, offsets in slices(batches, "text"):
+        texts, _, weights = elements(words(data, offsets))
+        total = np.bincount(texts, weights, batch.num_rows).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(total)], ["node", "weight"])
+
+
+def _rarest(share: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """node, rare: of nodes in buckets of CROWD or more, the elements in order of rarity, as far as the prefix filter needs them.
+
+    Two multisets of similarity t share an element among the first |x| - a + 1 of x and the first |y| - a + 1 of y, where
+    a = t / (1 + t) (|x| + |y|), in any one order of elements. So in a crowd, pairs without one in common are not compared. Elements
+    are kept as 32-bit hashes, which can only let a pair through. Texts that need more than MAX_RARE are left to be compared.
+    """
+    crowd = share.filter((F.col("most") >= CROWD) & (F.floor((1 - threshold) * F.col("weight")) + 1 <= MAX_RARE)).select("node", "weight")
+    each = parts.select("element", "node", F.col("weight").alias("times")).join(crowd, "node")
+    each = each.select("node", "weight", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda j: F.hash("element", j))).alias("e"))
+    often = each.groupBy("e").agg(F.count("*").alias("df"))
+    ranked = each.join(often, "e").groupBy("node", "weight").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("all"))
+    return ranked.select("node", F.transform(F.slice("all", 1, (F.floor((1 - threshold) * F.col("weight")) + 1).cast("int")), lambda x: x["e"]).alias("rare"))
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (ordered distinct hashes, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -159,17 +193,21 @@ def _confirm(threshold: float):
         return elements(words(raw, np.array([0, len(raw)])))[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, known = None, None
+        known: dict[bytes, tuple] = {}
+
+        def held(node: bytes, text: str) -> tuple:
+            if node not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[node] = of(text)
+            return known[node]
+
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 rows = [column(batch, c).to_pylist() for c in ("u", "v", "text_u", "text_v")]
-                good = []
-                for u, _, text_u, text_v in zip(*rows, strict=True):
-                    if u != name:
-                        name, known = u, of(text_u)
-                    good.append(similarity(known, of(text_v)) >= threshold)
-                yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
+                good = pa.array([similarity(held(u, text_u), held(v, text_v)) >= threshold for u, v, text_u, text_v in zip(*rows, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([column(batch, c).filter(good) for c in ("cu", "cv")], ["u", "v"])
 
     return run
 
@@ -183,45 +221,53 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
     nodes = scratch.table(nodes)
     at = nodes.select("node", F.explode("bands").alias("band"))
-    shared = at.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("band")
+    shared = at.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     members = scratch.table(at.join(shared, "band"))
-    share = members.groupBy("node").agg(F.count("*").alias("share"))
-    texts = None
-    members = scratch.table(members.join(share, "node").select("band", "node", "share", F.col("node").alias("comp"), F.lit(False).alias("led")))
-    labels = None
-    lead = 1
+    share = scratch.table(members.groupBy("node").agg(F.sum("n").alias("share"), F.max("n").alias("most")))
+    # Texts of the candidates, once for each node; shuffled at every size.
+    texts = source.mapInArrow(_named, "node binary, text string").join(share.select("node").hint("merge"), "node", "left_semi")
+    texts = scratch.table(texts.groupBy("node").agg(F.min("text").alias("text")))
+    # What of a node no other candidate has bounds its similarity to any of them: the weight alone, from counts of elements.
+    parts = texts.mapInArrow(_exploded, "element bigint, node binary, weight bigint")
+    own = parts.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("weight").alias("weight")).filter("n = 1")
+    own = own.groupBy("node").agg(F.sum("weight").alias("alone"))
+    weights = texts.mapInArrow(_weighed, "node binary, weight bigint").join(own, "node", "left").select("node", "weight", F.coalesce("alone", F.lit(0)).alias("alone"))
+    # Nodes whose own part is too large have no link at all.
+    share = share.join(weights, "node").filter(F.col("weight") - F.col("alone") >= threshold * F.col("weight") - 1e-9)
+    share = share.join(_rarest(share, parts, threshold), "node", "left")
+    members = members.select("band", "node").join(share, "node").select("band", "node", *CARRIED, F.col("node").alias("comp"), F.lit(False).alias("led"))
+    members = scratch.table(members)
+    labels, lead = None, FIRST_LEADERS
     while members.limit(1).count():
         slot = F.pmod(F.xxhash64("node"), F.lit(lead)).alias("slot")
-        leaders = members.filter(~F.col("led")).groupBy("band", slot).agg(F.max(F.struct("share", "node", "comp")).alias("l"))
-        leaders = leaders.select("band", F.col("l.node").alias("u"), F.col("l.comp").alias("comp_u"))
-        pairs = members.filter(~F.col("led")).join(leaders, "band").filter((F.col("node") != F.col("u")) & (F.col("comp") != F.col("comp_u")))
-        pairs = scratch.table(pairs.select("u", F.col("node").alias("v")).distinct())
-        # Two leaders of a bucket meet both ways; one is enough.
-        back = pairs.select(F.col("v").alias("u"), F.col("u").alias("v")).filter(F.col("u") < F.col("v"))
-        pairs = pairs.join(back, ["u", "v"], "left_anti")
-        if texts is None:
-            needed = members.select("node").distinct()
-            texts = source.mapInArrow(_named, "node binary, text string").join(needed, "node", "left_semi")
-            texts = scratch.table(texts.groupBy("node").agg(F.min("text").alias("text")))
+        free = members.filter(~F.col("led"))
+        leaders = free.groupBy("band", slot).agg(F.max(F.struct((F.col("comp") == F.col("node")).alias("single"), "share", "node", "comp", "weight", "alone", "rare")).alias("l"))
+        leaders = leaders.select(F.col("band").alias("band_u"), F.col("l.node").alias("u"), F.col("l.comp").alias("comp_u"), F.col("l.weight").alias("weight_u"), F.col("l.alone").alias("alone_u"), F.col("l.rare").alias("rare_u"))
+        most = F.least(F.col("weight") - F.col("alone"), F.col("weight_u") - F.col("alone_u"))  # they share no more
+        able = most >= threshold * (F.col("weight") + F.col("weight_u") - most) - 1e-9
+        need = F.ceil(threshold / (1 + threshold) * (F.col("weight") + F.col("weight_u")) - 1e-9).cast("int")
+        first = lambda rare, weight: F.slice(rare, 1, F.greatest(weight.cast("int") - need + 1, F.lit(0)))
+        able &= F.coalesce(F.arrays_overlap(first(F.col("rare"), F.col("weight")), first(F.col("rare_u"), F.col("weight_u"))), F.lit(True))
+        pairs = free.join(leaders, (F.col("band") == F.col("band_u")) & (F.col("node") != F.col("u")) & (F.col("comp") != F.col("comp_u")) & able)
+        ends = F.array_sort(F.array(F.struct(F.col("node").alias("n"), F.col("comp").alias("c")), F.struct(F.col("u").alias("n"), F.col("comp_u").alias("c"))))
+        pairs = pairs.select(ends.alias("e")).distinct().select(F.col("e")[0]["n"].alias("u"), F.col("e")[1]["n"].alias("v"), F.col("e")[0]["c"].alias("cu"), F.col("e")[1]["c"].alias("cv"))
         found = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
         found = found.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-        edges = scratch.table(found.select("u", "v", "text_u", "text_v").mapInArrow(_confirm(threshold), "u binary, v binary"))
-        ends = members.select("node", "comp").distinct()
-        edges = edges.join(ends.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u").join(ends.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v")
-        merged = components(edges.select(F.col("cu").alias("u"), F.col("cv").alias("v")), scratch)
-        step = merged.select(F.col("u").alias("comp"), "root")
-        if labels is None:
-            labels = merged.select(F.col("u").alias("node"), F.col("root").alias("comp"))
-        else:
-            moved = labels.join(step, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
-            labels = moved.union(merged.select(F.col("u").alias("node"), F.col("root").alias("comp")).join(labels, "node", "left_anti"))
-        labels = scratch.table(labels)
-        members = members.join(step, "comp", "left").join(leaders.select("band", F.col("u").alias("node"), F.lit(True).alias("now")), ["band", "node"], "left")
-        members = scratch.table(members.select("band", "node", "share", F.coalesce("root", "comp").alias("comp"), (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")))
-        alive = members.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.sum((~F.col("led")).cast("int")).alias("free"))
-        alive = alive.filter((F.col("a") != F.col("b")) & (F.col("free") > 1)).select("band")
+        edges = scratch.table(found.select("u", "v", "cu", "cv", "text_u", "text_v").mapInArrow(_confirm(threshold), "u binary, v binary").distinct())
+        if edges.limit(1).count():
+            merged = components(edges, scratch)
+            step = merged.select(F.col("u").alias("comp"), "root")
+            new = merged.select(F.col("u").alias("node"), F.col("root").alias("comp"))
+            if labels is not None:
+                new = labels.join(step, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).union(new.join(labels, "node", "left_anti"))
+            labels = scratch.table(new)
+            members = members.join(step, "comp", "left").withColumn("comp", F.coalesce("root", "comp"))
+        members = members.join(leaders.select(F.col("band_u").alias("band"), F.col("u").alias("node"), F.lit(True).alias("now")), ["band", "node"], "left")
+        members = scratch.table(members.select("band", "node", *CARRIED, "comp", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")))
+        alive = members.filter(~F.col("led")).groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+        alive = alive.filter(F.col("a") != F.col("b")).select("band")
         members = scratch.table(members.join(alive, "band", "left_semi"))
-        lead *= 2
+        lead *= MORE_LEADERS
     if labels is None:
         named = nodes.select("node", F.col("id").alias("class_id"))
     else:

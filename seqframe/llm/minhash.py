@@ -40,7 +40,7 @@ from .words import Words, grams, owner, words
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 FIRST_LEADERS, MORE_LEADERS = 2, 16
 CARRIED = ("share", "weight", "alone", "rare")
-CROWD, MAX_RARE = 64, 128
+CROWD, MAX_RARE, MAX_COMMON = 64, 128, 200_000
 KNOWN = 64  # texts of which a worker keeps the elements
 _FIRST = -6  # the first region of ranks is [0, 2**_FIRST), the following ones double
 _LAST = 40
@@ -165,19 +165,39 @@ def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(total)], ["node", "weight"])
 
 
-def _rarest(share: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+def _rarest(share: DataFrame, texts: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     """node, rare: of nodes in buckets of CROWD or more, the elements in order of rarity, as far as the prefix filter needs them.
 
     Two multisets of similarity t share an element among the first |x| - a + 1 of x and the first |y| - a + 1 of y, where
-    a = t / (1 + t) (|x| + |y|), in any one order of elements. So in a crowd, pairs without one in common are not compared. Elements
-    are kept as 32-bit hashes, which can only let a pair through. Texts that need more than MAX_RARE are left to be compared.
+    a = t / (1 + t) (|x| + |y|), in any one order of elements; here those that few texts have come first. So in a crowd, pairs without
+    one in common are not compared. Elements are kept as 32-bit hashes, which can only let a pair through. Texts that need more than
+    MAX_RARE are left to be compared, and so are all if more than MAX_COMMON elements are common (they are sent to the workers).
     """
-    crowd = share.filter((F.col("most") >= CROWD) & (F.floor((1 - threshold) * F.col("weight")) + 1 <= MAX_RARE)).select("node", "weight")
-    each = parts.select("element", "node", F.col("weight").alias("times")).join(crowd, "node")
-    each = each.select("node", "weight", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda j: F.hash("element", j))).alias("e"))
-    often = each.groupBy("e").agg(F.count("*").alias("df"))
-    ranked = each.join(often, "e").groupBy("node", "weight").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("all"))
-    return ranked.select("node", F.transform(F.slice("all", 1, (F.floor((1 - threshold) * F.col("weight")) + 1).cast("int")), lambda x: x["e"]).alias("rare"))
+    crowd = share.filter(F.col("most") >= CROWD).select("node")
+    common = parts.groupBy("element").agg(F.count("*").alias("n")).filter(F.col("n") >= CROWD // 2).select("element").limit(MAX_COMMON + 1).collect()
+    if len(common) > MAX_COMMON:
+        return crowd.select("node", F.lit(None).cast("array<int>").alias("rare"))
+    shared = share.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in common], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches, "text"):
+            owners, hashes, times = elements(words(data, offsets))
+            late = np.isin(hashes.view(np.int64), shared.value)
+            order = np.lexsort((hashes, late, owners))
+            hashes, times, owners = hashes[order], times[order], owners[order]
+            bounds = np.searchsorted(owners, np.arange(batch.num_rows + 1))
+            out = []
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                keep = int((1 - threshold) * int(times[i:j].sum()) + 1e-9) + 1
+                if keep > MAX_RARE:
+                    out.append(None)
+                    continue
+                n = times[i:j]
+                copies = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                out.append((mix(np.repeat(hashes[i:j], n) + copies.astype(np.uint64)) >> np.uint64(33)).astype(np.int32)[:keep].tolist())
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(out, pa.list_(pa.int32()))], ["node", "rare"])
+
+    return texts.join(crowd, "node", "left_semi").mapInArrow(run, "node binary, rare array<int>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -234,7 +254,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     weights = texts.mapInArrow(_weighed, "node binary, weight bigint").join(own, "node", "left").select("node", "weight", F.coalesce("alone", F.lit(0)).alias("alone"))
     # Nodes whose own part is too large have no link at all.
     share = share.join(weights, "node").filter(F.col("weight") - F.col("alone") >= threshold * F.col("weight") - 1e-9)
-    share = share.join(_rarest(share, parts, threshold), "node", "left")
+    share = share.join(_rarest(share, texts, parts, threshold), "node", "left")
     members = members.select("band", "node").join(share, "node").select("band", "node", *CARRIED, F.col("node").alias("comp"), F.lit(False).alias("led"))
     members = scratch.table(members)
     labels, lead = None, FIRST_LEADERS

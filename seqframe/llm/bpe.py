@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import column
 
-MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 60_000, 200_000, 300_000
+MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 40_000, 100_000, 150_000
 NONE = 1 << 60
 SPACE_THEN_SPACE = regex.compile(r" (?=\s)| \z")
 
@@ -68,7 +68,7 @@ class Transducer:
         self.starts = {b[:n] for b in ranks for n in range(1, len(b))}
         self.nodes: dict[bytes, Node] = {b"": Node(b"")}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.start = State((None,), self.nodes[b""])
         self.states: dict[tuple, State] = {}
 
@@ -100,7 +100,8 @@ class Transducer:
         """
         if before is None:
             return True
-        known = self.pairs.get((before, token))
+        pair = before << 24 | token
+        known = self.pairs.get(pair)
         if known is not None:
             return known
         left, right, limit, fits, names, ranks = before, token, NONE, True, self.bytes, self.ranks
@@ -118,7 +119,7 @@ class Transducer:
                 limit, right = right + 1, self._halves(right)[0]
         if len(self.pairs) >= MAX_PAIRS:
             self.pairs.clear()
-        self.pairs[before, token] = fits
+        self.pairs[pair] = fits
         return fits
 
     def _go(self, node: Node, byte: int) -> tuple[tuple[tuple[int, int], ...], Node]:

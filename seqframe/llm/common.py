@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space of every operator here: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows in an Arrow batch: texts are long, and a batch is held by the JVM and by the worker at once.
+BATCH_ROWS = 1000
 _OWN: dict[str, str] = {}
 
 
@@ -26,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on in this session, if its setting allows for more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder in order to cut lineage; lost executors can always reread them."""
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/seqframe-{uuid.uuid4().hex}", []
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -46,6 +56,7 @@ class Scratch:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -1,11 +1,14 @@
 """Pairwise alignment: global, local and semi-global, in Arrow batches; edit distance as a built-in expression.
 
-One score matrix and one traceback matrix (0 diagonal, 1 left: a gap in seq1, 2 up: a gap in seq2, 3 stop). A gap costs `extend`
+A cell has a score and a move (0 diagonal, 1 left: a gap in seq1, 2 up: a gap in seq2, 3 stop). A gap costs `extend`
 where the neighbour it comes from was itself such a gap, else `open`; so which of equal moves is chosen matters. Global and semi-global prefer diagonal, left,
 up; local prefers up, left, diagonal, stop. Cells of one anti-diagonal depend on the two before only, and are computed together.
 
+Pairs of any length are aligned. Every K-th anti-diagonal is kept, and the traceback computes the moves between two of them again, for the K rows it can
+reach: with K as in `_spacing`, memory grows as (m + n) ** (2/3) * min(m, n) ** (2/3) and the moves computed again are (m + n) * K. The score alone takes linear memory.
+
 Semi-global alignment frees the end gaps of both sequences; the overhang after the best cell is written once, in order. Comparison
-is by character, case matters. Empty input is an error. Pairs with more than MAX_CELLS cells are an error, not a dead worker.
+is by character, case matters. Empty input is an error.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from pyspark.sql import types as T
 from ..schema import ALIGN_STRUCT, SequenceError, col
 
 GLOBAL, LOCAL, SEMI_GLOBAL = "global", "local", "semiglobal"
-MAX_CELLS = 200_000_000
+#: Pairs of at most so many cells keep the moves of the only pass.
+WHOLE_CELLS = 4_000_000
 WIDTH = 60
-_LOW = -(1 << 30)
 
 
 @dataclass(frozen=True)
@@ -67,67 +70,131 @@ def identity(a: str, b: str) -> float:
     return 100.0 * sum(x == y and x != "-" for x, y in zip(a, b, strict=True)) / len(a) if a else 0.0
 
 
-def _matrices(a: np.ndarray, b: np.ndarray, mode: str, s: ScoringScheme) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and moves, stored by anti-diagonal: row d, place i holds cell (i, d - i)."""
-    m, n = len(a), len(b)
-    score, move = np.zeros((m + n + 1, m + 1), np.int32), np.full((m + n + 1, m + 1), 3, np.int8)
-    border = lambda k: 0 if mode != GLOBAL else s.gap_open + (k - 1) * s.gap_extend
-    if mode != LOCAL:
-        move[0, 0] = 0 if mode == GLOBAL else 1
-        for i in range(1, m + 1):
-            score[i, i], move[i, i] = border(i), 2
-        for j in range(1, n + 1):
-            score[j, 0], move[j, 0] = border(j), 1
-    for d in range(2, m + n + 1):
-        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
-        if not len(i):
-            continue
-        diagonal = score[d - 2, i - 1] + np.where(a[i - 1] == b[d - i - 1], s.match, s.mismatch)
-        left = score[d - 1, i] + np.where(move[d - 1, i] == 1, s.gap_extend, s.gap_open)
-        up = score[d - 1, i - 1] + np.where(move[d - 1, i - 1] == 2, s.gap_extend, s.gap_open)
-        if mode == LOCAL:
-            best = np.maximum(np.maximum(diagonal, left), np.maximum(up, 0))
-            chosen = np.where(up == best, 2, np.where(left == best, 1, np.where(diagonal == best, 0, 3)))
-        else:
+class _Sweep:
+    """Anti-diagonals in turn: of diagonal d, cell (i, d - i) stands at place i. Memory is linear."""
+
+    def __init__(self, seq1: str, seq2: str, mode: str, s: ScoringScheme):
+        if not seq1 or not seq2:
+            raise SequenceError("alignment of an empty sequence")
+        if mode not in (GLOBAL, LOCAL, SEMI_GLOBAL):
+            raise SequenceError(f"unknown alignment type: {mode}")
+        self.m, self.n, self.mode, self.d = len(seq1), len(seq2), mode, 0
+        self.a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (seq1, seq2))
+        self.b = b[::-1].copy()
+        most = (self.m + self.n + 1) * max(abs(s.match), abs(s.mismatch), abs(s.gap_open), abs(s.gap_extend))
+        self.kind = np.int32 if most < 1 << 30 else np.int64
+        self.match, self.mismatch, self.open, self.more = (self.kind(x) for x in (s.match, s.mismatch, s.gap_open, s.gap_extend - s.gap_open))
+        # Scores of the diagonal before this one and of this one; what the cells right of and below this one's score by a gap.
+        self.old, self.score, self.left, self.up = (np.zeros(self.m + 1, self.kind) for _ in range(4))
+
+    def state(self, first: int, last: int) -> tuple:
+        """What step() goes on from, for the rows first..last."""
+        return self.d, first, *(x[first : last + 1].copy() for x in (self.old, self.score, self.left, self.up))
+
+    def resume(self, state: tuple) -> None:
+        self.d, first, *kept = state
+        for x, part in zip((self.old, self.score, self.left, self.up), kept, strict=True):
+            x[first : first + len(part)] = part
+
+    def step(self, first: int, last: int, moves: bool) -> tuple[int, np.ndarray] | None:
+        """Compute rows first..last of the next diagonal; the row of the first inner cell, and the moves from there on."""
+        self.d = d = self.d + 1
+        new, kept = self.old, None  # a cell needs old[i - 1] only, which is read before it is written
+        lo, hi = max(1, d - self.n, first), min(self.m, d - 1, last)
+        if lo <= hi:
+            diagonal = np.where(self.a[lo - 1 : hi] == self.b[self.n - d + lo : self.n - d + hi + 1], self.match, self.mismatch)
+            diagonal += self.old[lo - 1 : hi]
+            left, up = self.left[lo : hi + 1], self.up[lo - 1 : hi]
             best = np.maximum(np.maximum(diagonal, left), up)
-            chosen = np.where(diagonal == best, 0, np.where(left == best, 1, 2))
-        score[d, i], move[d, i] = best, chosen
-    return score, move
+            if self.mode == LOCAL:
+                np.maximum(best, 0, out=best)
+                is_up = up == best
+                is_left = (left == best) & ~is_up
+            else:
+                off = diagonal < best
+                is_left = (left == best) & off
+                is_up = off & ~is_left
+            if moves:
+                kept = is_left.view(np.int8) + 2 * is_up.view(np.int8)
+                if self.mode == LOCAL:
+                    kept[best <= 0] = 3
+            new[lo : hi + 1] = best
+            best += self.open
+            np.add(best, is_left * self.more, out=self.left[lo : hi + 1])
+            np.add(best, is_up * self.more, out=self.up[lo : hi + 1])
+        edge = int(self.open) * d + int(self.more) * (d - 1) if self.mode == GLOBAL else 0  # open + (d - 1) * extend
+        gap, longer = edge + int(self.open), edge + int(self.open) + int(self.more)
+        if first == 0 and d <= self.n:  # in the first row, by gaps in seq1
+            new[0], self.left[0], self.up[0] = edge, gap if self.mode == LOCAL else longer, gap
+        if d <= min(self.m, last) and d >= first:  # in the first column, by gaps in seq2
+            new[d], self.left[d], self.up[d] = edge, gap, gap if self.mode == LOCAL else longer
+        self.old, self.score = self.score, new
+        return None if kept is None else (lo, kept)
+
+
+def _spacing(m: int, n: int) -> int:
+    """Between the diagonals kept, so that they and the moves between two of them take the least memory together."""
+    return max(64, int((8 * (m + n) * min(m, n)) ** (1 / 3)))
+
+
+def _forward(sweep: _Sweep, kept: list | None, moves: list | None) -> tuple[int, int, int]:
+    """(score, i, j) of the last cell of the best alignment; fills in the states of every K-th diagonal, and all moves."""
+    m, n, mode = sweep.m, sweep.n, sweep.mode
+    every = _spacing(m, n)
+    row, column = np.zeros(n + 1, sweep.kind), np.zeros(m + 1, sweep.kind)
+    best = (0, 0, 0)
+    for d in range(m + n + 1):
+        lo, hi = max(0, d - n), min(m, d)
+        if d:
+            step = sweep.step(0, m, moves is not None)
+            if moves is not None:
+                moves.append(step)
+        if mode == LOCAL:
+            i = lo + int(sweep.score[lo : hi + 1].argmax())
+            top = int(sweep.score[i])
+            # The first in row-major order.
+            if top > best[0] or (top == best[0] > 0 and i < best[1]):
+                best = (top, i, d - i)
+        elif mode == SEMI_GLOBAL:
+            if d >= m:
+                row[d - m] = sweep.score[m]
+            if d >= n:
+                column[d - n] = sweep.score[d - n]
+        if kept is not None and d % every == 0:
+            kept.append(sweep.state(max(0, lo - 1), hi))
+    if mode == GLOBAL:
+        return int(sweep.score[m]), m, n
+    if mode == SEMI_GLOBAL:
+        best = (int(row[n]), m, n)
+        if row.max() > best[0]:
+            best = (int(row.max()), m, int(row.argmax()))
+        if column.max() > best[0]:
+            best = (int(column.max()), int(column.argmax()), n)
+    return best
 
 
 def align_pair(seq1: str, seq2: str, mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> Alignment:
-    if not seq1 or not seq2:
-        raise SequenceError("alignment of an empty sequence")
-    m, n = len(seq1), len(seq2)
-    if m * n > MAX_CELLS:
-        raise SequenceError(f"resource limit exceeded: {m} x {n} cells")
-    code = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
-    score, move = _matrices(code(seq1), code(seq2), mode, scoring)
-    at = lambda i, j: int(score[i + j, i])
-    i, j = m, n
-    if mode == LOCAL:
-        top = int(score.max())
-        if top <= 0:
-            return Alignment("", "", 0, 0, 0, 0, 0)
-        d, rows = np.nonzero(score == top)
-        k = np.lexsort((d - rows, rows))[0]  # the first in row-major order
-        i, j = int(rows[k]), int(d[k] - rows[k])
-    elif mode == SEMI_GLOBAL:
-        for y in range(n + 1):
-            if at(m, y) > at(i, j):
-                i, j = m, y
-        for x in range(m + 1):
-            if at(x, n) > at(i, j):
-                i, j = x, n
-    elif mode != GLOBAL:
-        raise SequenceError(f"unknown alignment type: {mode}")
-    end1, end2, best = i, j, at(i, j)
+    sweep = _Sweep(seq1, seq2, mode, scoring)
+    m, n = sweep.m, sweep.n
+    kept, moves = ([], None) if m * n > WHOLE_CELLS else (None, [None])
+    best, i, j = _forward(sweep, kept, moves)
+    if mode == LOCAL and best <= 0:
+        return Alignment("", "", 0, 0, 0, 0, 0)
+    end1, end2, start = i, j, 0
     tail1, tail2 = (seq1[i:] + "-" * (n - j), "-" * (m - i) + seq2[j:]) if mode == SEMI_GLOBAL else ("", "")
     out1: list[str] = []
     out2: list[str] = []
-    while (i > 0 or j > 0) if mode == GLOBAL else (i > 0 and j > 0):
-        step = int(move[i + j, i])
-        if mode == LOCAL and (at(i, j) <= 0 or step == 3):
+    while i > 0 and j > 0:
+        if kept is not None and (moves is None or i + j <= start):
+            # Diagonals after the kept one before this cell, in the rows that a path from here can reach.
+            state = kept[(i + j - 1) // _spacing(m, n)]
+            sweep.resume(state)
+            start, d, moves = state[0], i + j, [None]
+            while sweep.d < d:
+                moves.append(sweep.step(max(0, i - (d - sweep.d - 1)), i, True))
+        first, row = moves[i + j - start]
+        step = int(row[i - first])
+        if step == 3:
             break
         if step == 0:
             i, j = i - 1, j - 1
@@ -141,49 +208,14 @@ def align_pair(seq1: str, seq2: str, mode: str = GLOBAL, scoring: ScoringScheme
             i -= 1
             out1.append(seq1[i])
             out2.append("-")
-    head1, head2 = ("", "") if mode != SEMI_GLOBAL else (seq1[:i] + "-" * j, "-" * i + seq2[:j])
+    head1, head2 = ("", "") if mode == LOCAL else (seq1[:i] + "-" * j, "-" * i + seq2[:j])
     start1, start2 = (i, j) if mode == LOCAL else (0, 0)
     return Alignment(head1 + "".join(reversed(out1)) + tail1, head2 + "".join(reversed(out2)) + tail2, best, start1, end1, start2, end2)
 
 
 def score_pair(seq1: str, seq2: str, mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> int:
     """The score alone, in memory linear in the lengths."""
-    if not seq1 or not seq2:
-        raise SequenceError("alignment of an empty sequence")
-    s, m, n = scoring, len(seq1), len(seq2)
-    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (seq1, seq2))
-    border = lambda k: 0 if mode != GLOBAL else (0 if k == 0 else s.gap_open + (k - 1) * s.gap_extend)
-    old, last = (np.full(m + 1, _LOW, np.int64), np.full(m + 1, 3, np.int8)), None
-    last = (np.full(m + 1, _LOW, np.int64), np.full(m + 1, 3, np.int8))
-    last[0][0], last[1][0] = 0, {GLOBAL: 0, LOCAL: 3, SEMI_GLOBAL: 1}[mode]
-    best = 0 if mode == LOCAL else _LOW
-    for d in range(1, m + n + 1):
-        new = (np.full(m + 1, _LOW, np.int64), np.full(m + 1, 3, np.int8))
-        if d <= n:
-            new[0][0], new[1][0] = border(d), 3 if mode == LOCAL else 1
-        if d <= m:
-            new[0][d], new[1][d] = border(d), 3 if mode == LOCAL else 2
-        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
-        if len(i):
-            diagonal = old[0][i - 1] + np.where(a[i - 1] == b[d - i - 1], s.match, s.mismatch)
-            left = last[0][i] + np.where(last[1][i] == 1, s.gap_extend, s.gap_open)
-            up = last[0][i - 1] + np.where(last[1][i - 1] == 2, s.gap_extend, s.gap_open)
-            top = np.maximum(np.maximum(diagonal, left), up)
-            if mode == LOCAL:
-                top = np.maximum(top, 0)
-                new[1][i] = np.where(up == top, 2, np.where(left == top, 1, np.where(diagonal == top, 0, 3)))
-            else:
-                new[1][i] = np.where(diagonal == top, 0, np.where(left == top, 1, 2))
-            new[0][i] = top
-        if mode == LOCAL:
-            best = max(best, int(new[0].max()))
-        elif mode == SEMI_GLOBAL:
-            if d - m >= 0:
-                best = max(best, int(new[0][m]))
-            if 0 <= d - n <= m:
-                best = max(best, int(new[0][d - n]))
-        old, last = last, new
-    return int(last[0][m]) if mode == GLOBAL else best
+    return _forward(_Sweep(seq1, seq2, mode, scoring), None, None)[0]
 
 
 def align(seq1: Column | str, seq2: Column | str, mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> Column:

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from seqframe import queries as Q
 from seqframe.operators import align as L
 from seqframe.operators import parallel as X
 from seqframe.operators.search import find_all_long
@@ -56,6 +57,37 @@ def test_alignment_properties(x, y, mode, scoring):
     assert (a.seq1_aligned.replace("-", ""), a.seq2_aligned.replace("-", "")) == whole and len(a.seq1_aligned) == len(a.seq2_aligned)
 
 
+@given(DNA, DNA, st.sampled_from([L.GLOBAL, L.LOCAL, L.SEMI_GLOBAL]), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_alignment_from_kept_diagonals(x, y, mode, every):
+    want = L.align_pair(x, y, mode).row()
+    with pytest.MonkeyPatch.context() as p:
+        p.setattr(L, "WHOLE_CELLS", 0)
+        p.setattr(L, "_spacing", lambda m, n: every)
+        assert L.align_pair(x, y, mode).row() == want
+
+
+def test_alignment_of_long_pairs():
+    x, y = "ACGT" * 4000, "ACGT" * 2000 + "A" + "ACGT" * 2000
+    a = L.align_pair(x, y)
+    assert (a.score, len(a.seq1_aligned), a.seq1_aligned.count("-"), a.seq2_aligned) == (2 * 16000 - 2, 16001, 1, y)
+
+
+def test_alignment_queries_read_whole_sequences(spark, tmp_path):
+    s = "ACGT" * 15 + "GGATTACA" * 9
+    spark.createDataFrame([(1, s, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for mode in (L.GLOBAL, L.LOCAL, L.SEMI_GLOBAL):
+        got = Q.QUERIES[f"align_{mode}"](spark, str(tmp_path)).drop("doc_id").first()
+        assert tuple(got) == L.align_pair(s, s[::-1], mode).row() and got["score"] == plain(s, s[::-1], mode, L.ScoringScheme())
+    assert Q.QUERIES["align_score"](spark, str(tmp_path)).first()["score"] == plain(s, s[::-1], L.GLOBAL, L.ScoringScheme())
+    row = list(range(len(s) + 1))
+    for c in s:
+        old, row = row, [row[0] + 1]
+        for j, e in enumerate(reversed(s)):
+            row.append(min(old[j] + (c != e), old[j + 1] + 1, row[j] + 1))
+    assert Q.QUERIES["edit_distance_whole"](spark, str(tmp_path)).first()["result"] == row[-1]
+
+
 def test_format():
     assert L.align_pair("ACGTACGT", "ACGTCGT").format().startswith("Score: 12\nIdentity: 87.50%\nSeq1: 0..8\nSeq2: 0..7\n\nSeq1: ACGTACGT\n      |||| |||\nSeq2: ACGT-CGT\n")
 

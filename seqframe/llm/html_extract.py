@@ -12,6 +12,8 @@ the input is trained on. Weights are a few hundred kB and are broadcast.
 Text of script, style, head and the like is never a block. Character references are decoded; white space inside a block becomes one space; blocks
 are joined by a line feed. <br> is white space inside its block.
 
+Quoted attribute values may have any length and hold >.
+
 Defined cases: a null or empty page, or one without main text, has an empty text. Unclosed and stray tags are put up with;
 an unclosed comment, script or style lasts to the page's end. Repeated rows and null ids are returned as they are; an
 empty table gives an empty result. Other columns are left out unless in `keep`.
@@ -38,7 +40,9 @@ from .words import words
 
 PATHS, WORDS, WORD_SIZE, NUMBERS, HIDDEN = 2048, 1024, 6, 6, 16
 PAGES, PASSES, BATCH, RATE, SEED = 900, 8, 20, 0.012, 5
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,9999}+"|'[^']{0,9999}+')*+|[^>]*+)>""", re.S)
+#: A comment, declaration or the head of a tag; a tag's end is found by TagEnds.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)""", re.S)
+SPECIAL = re.compile(r"""[>"']""")
 NAMES = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 # Element names of HTML.
 RAW = frozenset("script style title textarea noframes noembed iframe xmp template".split())
@@ -51,6 +55,34 @@ def _hash(text: str, size: int) -> int:
     return zlib.crc32(text.encode()) % size
 
 
+class TagEnds:
+    """Where a tag of the page ends: at the first > outside quoted values, of any length; if there is none, at the first > of all.
+
+    Time is linear in the page: a scan that finds no end leaves its places in `failed`, where later ones stop, and no two scans
+    cross the same stretch of a quoted value unless the first found its end.
+    """
+
+    def __init__(self, page: str, last: int):
+        self.page, self.last = page, last
+        self.failed: set[int] = set()
+
+    def after(self, at: int) -> int:
+        seen = []
+        place = at
+        while m := SPECIAL.search(self.page, place, self.last):
+            place = m.start()
+            if m[0] == ">":
+                return place + 1
+            if place in self.failed:
+                break
+            seen.append(place)
+            place = self.page.find(m[0], place + 1, self.last) + 1
+            if not place:
+                break
+        self.failed.update(seen)
+        return self.page.index(">", at) + 1
+
+
 class Blocks:
     """A page's blocks: text, path features, characters inside links."""
 
@@ -76,6 +108,7 @@ class Blocks:
         stack: list[tuple[str, frozenset[int]]] = [("", frozenset())]
         open_: Counter[str] = Counter()
         at, last = 0, page.rfind(">") + 1  # no tag ends later: a search never runs on in vain
+        ends = TagEnds(page, last)
         while at < len(page):
             m = TAG.search(page, at, last) if at < last else None
             if m is None or m.start() > at:
@@ -90,7 +123,7 @@ class Blocks:
                     self._parts.append(text)
             if m is None:
                 break
-            at = m.end()
+            at = ends.after(m.end()) if m[2] else m.end()
             if page.startswith("<!--", m.start()) and page[at - 3 : at] != "-->":
                 break  # an unclosed comment
             name = (m[2] or "").lower()
@@ -124,7 +157,8 @@ class Blocks:
                     open_[stack.pop()[0]] -= 1
                 open_[stack.pop()[0]] -= 1
             found = {_hash(name, PATHS)}
-            for kind, *values in NAMES.findall(m[3]) if "=" in m[3] else ():
+            inside = page[m.end() : at - 1]
+            for kind, *values in NAMES.findall(inside) if "=" in inside else ():
                 for word in re.findall(r"[a-z]+", "".join(values).lower()):
                     found.add(_hash(f"{'role' if kind.lower() == 'role' else ''}.{word}", PATHS))
             above = stack[-1][1]

@@ -1,6 +1,7 @@
 """Parts that need no session: words, winnowing, filters, suffix arrays, the transducer, networks."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -276,3 +277,15 @@ def test_hostile_html():
     for page in ("<a \"" * 3000, "<div>" * 20000 + "x", "</b>" * 20000, "<p" * 20000, "&#" * 1000, "<" * 50000, "<p" * 300000, "<!" * 300000, "<!--" * 100000 + ">", "x" * 300000):
         html_extract.Blocks(page)
     assert html_extract.Blocks("a<br>b  c&nbsp;d<div>e").texts == ["a b c d", "e"]
+
+
+def test_html_long_attribute_values():
+    for quote, other in ("\"'", "'\""):
+        for n in (10, 9_999, 10_000, 200_000):
+            page = f"<p>one</p><div data-x={quote}{'j' * n}<p>LEAK {other}</p> a > b{quote} class=main>two</div>"
+            assert html_extract.Blocks(page).texts == ["one", "two"]
+    assert html_extract.Blocks("<p title='a>b>c</p>").texts == ["b>c"]  # unclosed: the first > ends the tag
+    for hostile in ("<a \"'>", "<a x=\">'", "<a '>\"<b \">'", "<a \"\"'> "):
+        began = time.perf_counter()
+        html_extract.Blocks(hostile * 40_000 + "'\"" + "<p>")
+        assert time.perf_counter() - began < 10

@@ -250,6 +250,30 @@ def test_licenses_that_are_none():
     assert name == "ISC" and differences == ["or -> "]
 
 
+def test_licenses_in_other_words():
+    scanner = license_scan.Scanner()
+    for line, name in {
+        "This project is licensed under the terms of the MIT license.": "MIT", "This work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+        "Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License": "CC-BY-NC-ND-4.0", "SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1", "This code is licensed under the GNU General Public License v3": "GPL-3.0",
+    }.items():
+        assert [x[0] for x in scanner.scan("Plain words before it.\n" + line + "\nand words after it")] == [name], line
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEXTS))
+def test_license_texts_in_paragraphs(name):
+    scanner = license_scan.Scanner()
+    text = next(x[1] for x in license_scan.all_templates()[::-1] if x[0] == name)
+    ((got, first, last, _, coverage, differences),) = scanner.scan("Some words here.\n\n" * 400 + text + "\n\nMore words here." * 300)
+    assert (got, coverage, differences) == (name, 1.0, [])
+
+
+def test_license_headers_in_paragraphs():
+    scanner = license_scan.Scanner()
+    for name, wording, _ in license_scan.NOTICES[:8]:
+        text = wording.replace(". ", ".\n\n * ").replace("This program", "Foo")
+        assert [x[0] for x in scanner.scan("Words.\n\n" * 50 + text + "\n\nwords\n" * 50)] == [name]
+
+
 PAGES = [
     ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article><h1>A title of it</h1><p>One &amp; two\n three.<p>Four words are here.</p></article><footer>&copy; 2020 Foot</footer></body></html>", "A title of it\nOne & two three.\nFour words are here."),
     ("", ""), ("   ", ""), ("<script>var a='<p>x</p>';", ""), ("<!-- never closed <p>text</p>", ""),

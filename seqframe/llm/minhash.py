@@ -297,7 +297,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return sketched.select("doc_id", "node").join(named, "node").select(F.col("doc_id").alias(id_col), "class_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with the least doc_id of their class; rows with a null doc_id stay."""
-    gone = classes(docs, **options).filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """One row of docs of each class: that with the least doc_id, nulls last, and of several such the first as they are numbered here."""
+    numbered = Scratch(docs.sparkSession).table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    found = classes(numbered.select(place.alias("__place"), text_col), id_col="__place", text_col=text_col, **options)
+    gone = found.filter(F.col("__place.row") != F.col("class_id.row")).select(F.col("__place.row").alias("__row"))
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)

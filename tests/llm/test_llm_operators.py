@@ -113,6 +113,14 @@ def test_minhash_edges(spark):
     assert [r["doc_id"] for r in minhash.keep_one(clash).collect()] == [1] and minhash.keep_one(clash).columns == clash.columns
 
 
+def test_keep_one_of_rows(spark):
+    x, y = "a b c d e f g", "h i j k l m n"
+    kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in minhash.keep_one(docs(spark, rows)).collect()), key=key)
+    assert kept([(1, x), (1, x), (1, x)]) == [(1, x)]
+    assert kept([(None, x), (None, x), (None, y), (7, y)]) == sorted([(None, x), (7, y)], key=key)
+    assert kept([(1, x), (2, x), (2, y)]) == [(1, x), (2, y)]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)] + [(400, i) for i in range(401, 440)]

@@ -4,7 +4,8 @@ Suffixes are classified as smaller (S) or larger (L) than their right neighbour;
 substring. Those are sorted by inducing, named, and sorted as suffixes by recursion on the string of names; from the sorted
 LMS suffixes first the L, then the S suffixes are induced. Over a byte alphabet a bucket is induced at a time with array
 operations: all that a bucket's entries induce goes to its places at once, and again for what lands in the same bucket.
-Over the large alphabets of the recursion, with a few entries a bucket, the same is done entry by entry.
+Over the large alphabets of the recursion, with a few entries a bucket, all buckets are induced at once: each suffix hangs
+on a chain of falling (L) or rising (S) symbols that ends in a sorted suffix, and chains are ranked by doubling.
 """
 
 from __future__ import annotations
@@ -69,35 +70,58 @@ def _induce_blocks(s: np.ndarray, is_s: np.ndarray, ends: np.ndarray, lms: np.nd
     return sa
 
 
-def _induce_entries(s: list[int], is_s: list[bool], ends: list[int], lms: list[int]) -> list[int]:
+def _ranked(keys: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Items in order of their chains; keys: each one's own key, alone at a chain's end; follow: the next item, itself at the end.
+
+    Chains are compared by doubling: after a round, ranks tell twice as many steps apart. A rank is the place where its ties
+    begin, so that only ties are sorted again.
+    """
+    order = np.argsort(keys, kind="stable")
+    sorted_, rank = keys[order], np.empty(len(keys), np.int64)
+    new = np.ones(len(keys), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    first = np.flatnonzero(new)
+    rank[order] = np.repeat(first, np.diff(np.append(first, len(keys))))
+    sizes = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
+    places = np.flatnonzero(sizes > 1)
+    while len(places):
+        tied = order[places]
+        key = rank[tied] * len(keys) + rank[follow[tied]]
+        turn = np.argsort(key, kind="stable")
+        tied, key = tied[turn], key[turn]
+        order[places] = tied
+        new = np.ones(len(tied), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(tied)))
+        rank[tied] = np.repeat(places[first], counts)
+        follow = follow[follow]
+        places = places[np.repeat(counts, counts) > 1]
+    return order
+
+
+def _induce_ranks(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As _induce_blocks, for large alphabets: first the L suffixes by the chains that lead to sorted LMS ones, then the S likewise."""
     n = len(s)
-    sa = [-1] * n
-    tails = ends[:]
-    for p in reversed(lms):
-        tails[s[p]] -= 1
-        sa[tails[s[p]]] = p
-    ptr = [0, *ends[:-1]]
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not is_s[p]:
-            c = s[p]
-            sa[ptr[c]] = p
-            ptr[c] += 1
-    ptr = ends[:]
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and is_s[p]:
-            c = s[p]
-            ptr[c] -= 1
-            sa[ptr[c]] = p
-    sa[0] = n - 1
-    return sa
+    wanted = ~is_s
+    ends, item = lms, np.full(n, -1, np.int64)
+    for mark in (0, 1):  # an L suffix precedes an S suffix of the same symbol
+        own = np.flatnonzero(wanted)
+        at = np.concatenate([ends, own])
+        item[at] = np.arange(len(at))
+        # Of equal symbols, each end has a key of its own, in the given order; the suffixes to be induced share one before or after them.
+        symbol = s[at] * (len(ends) + 2)
+        keys = symbol + (np.where(np.arange(len(at)) < len(ends), 1 + np.arange(len(at)), (len(ends) + 1) * mark))
+        follow = np.concatenate([np.arange(len(ends)), item[np.minimum(own + 1, n - 1)]])
+        order = at[_ranked(keys, follow)]
+        if mark == 0:
+            ends = order[~is_s[order]]
+            wanted = is_s
+    return order
 
 
 def _induce(s, is_s, ends, lms, blockwise: bool) -> np.ndarray:
-    if blockwise:
-        return _induce_blocks(s, is_s, ends, lms)
-    return np.array(_induce_entries(s.tolist(), is_s.tolist(), ends.tolist(), lms.tolist()), np.int64)
+    return _induce_blocks(s, is_s, ends, lms) if blockwise else _induce_ranks(s, is_s, lms)
 
 
 def _names(s: np.ndarray, is_lms: np.ndarray, order: np.ndarray, positions: np.ndarray) -> np.ndarray:

@@ -246,7 +246,7 @@ def brute_substrings(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 3000, "hot_bytes": 4000, "broadcast_rows": 0}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 3000, "hot_bytes": 4000, "broadcast_rows": 0}, {"shard_bytes": 3000, "hot_bytes": 0, "broadcast_rows": 0}, {"hot_bytes": 1 << 40, "seed": 20}])
 def test_substrings(spark, options):
     rng = random.Random(4)
     base = "".join(rng.choice("abcde é") for _ in range(600))

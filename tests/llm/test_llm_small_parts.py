@@ -85,7 +85,7 @@ def test_suffix_array(values, blockwise):
 
 def test_segments_cover_all_windows():
     texts = ["abcdefgh" * 9, "short", "", "xyz" * 30]
-    f, seg, text, start, runs = substring_dedup.segments(*packed(texts), 20, 5)
+    f, text, start, runs = substring_dedup.segments(*packed(texts), 20, 5)
     for i, t in enumerate(texts):
         covered = sorted(x for a, n in zip(start[text == i].tolist(), runs[text == i].tolist(), strict=True) for x in range(a, a + n))
         assert covered == list(range(max(0, len(t.encode()) - 19)))

@@ -2,10 +2,12 @@
 
 Encoding. In a BPE encoding each prefix of a piece has exactly one possible last token: the token t for which the prefix
 without t ends in a token p such that p, t is how BPE encodes the two together. The transducer reads bytes and holds, for
-each place where a later token may still start, the last token there; how far back such places lie is bounded by the
-longest suffix that begins some token. A state is that record since the last boundary which all open readings share; what
-lies before is settled and emitted. States and transitions are made when first met and kept (at most MAX_STATES, then
-dropped and made again, so memory is bounded and results never depend on it). A piece of any length takes linear time.
+each place where a later token may still start, the last token there; such a place lies no further back than the
+longest suffix that begins some token. A state is that record since the last boundary which all open readings share, without
+what no later step reads; what lies before is settled and emitted. States and transitions are made when first met and kept in
+a hash table of arrays, so that many pieces are read at once, a byte of each in a step. At MAX_STATES the states that were
+not met for the longest time are dropped, and made again when met again: reading goes on in the same way, memory is bounded
+and results never depend on it. A piece of any length takes linear time.
 
 Texts are first cut into pieces by the pattern; results of space-led chunks are remembered in a bounded
 table. A chunk is looked up on its own only in texts where each space is followed by something that isn't white
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import column
+from .common import column, mix
 
-MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 40_000, 100_000, 150_000
+MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 200_000, 100_000, 150_000  # about 300 bytes a state, 170 a chunk, 100 a pair
+GROUP_CHARS = 1 << 21  # texts that are encoded at once
+FEW, SEEN = 24, 50_000  # pieces that are read one by one; transitions at hand then
 NONE = 1 << 60
 SPACE_THEN_SPACE = regex.compile(r" (?=\s)| \z")
 
@@ -42,35 +47,73 @@ SPACE_THEN_SPACE = regex.compile(r" (?=\s)| \z")
 class Node:
     """The longest suffix read that begins a token; by byte: which tokens may end there, the longest first, and the next node."""
 
-    __slots__ = ("text", "go")
+    __slots__ = ("text", "number", "open", "go")
 
-    def __init__(self, text: bytes):
-        self.text = text
+    def __init__(self, text: bytes, number: int, open_: tuple[int, ...]):
+        self.text, self.number, self.open = text, number, open_  # open: where in it a suffix starts that begins a token, its end included
         self.go: dict[int, tuple[tuple[tuple[int, int], ...], Node]] = {}
 
 
-class State:
-    """Open readings: the last token at each place since the settled boundary (None: not open), and where to go by byte."""
+class Transitions:
+    """(state, byte) to (state, emission), in open addressing."""
 
-    __slots__ = ("last", "node", "next", "final")
+    def __init__(self, size: int = 1 << 12):
+        self.keys, self.values, self.n = np.full(size, -1, np.int64), np.zeros(size, np.int64), 0
 
-    def __init__(self, last: tuple, node: Node):
-        self.last, self.node = last, node
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.final: tuple[int, ...] | None = None
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.astype(np.uint64)) & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        at, out, open_ = self._slot(keys), np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(open_):
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Of distinct keys that are not held."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            held = self.keys >= 0
+            old = self.keys[held], self.values[held]
+            self.__init__(1 << (4 * (self.n + len(keys))).bit_length())
+            self.put(*old)
+        self.n += len(keys)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            lost = self.keys[at] != keys
+            self.values[at[~lost]] = values[~lost]
+            keys, values, at = keys[lost], values[lost], (at[lost] + 1) & (len(self.keys) - 1)
 
 
 class Transducer:
+    """A state has a number; it holds its node's number and the last token at each place since the settled boundary (-1: not read later), as 32-bit numbers."""
+
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+        self.ranks, self.max_states = ranks, max(8, max_states)
         self.bytes = {i: b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
         self.starts = {b[:n] for b in ranks for n in range(1, len(b))}
-        self.nodes: dict[bytes, Node] = {b"": Node(b"")}
+        self.nodes = [Node(b"", 0, (0,))]
+        self.node_of = {b"": self.nodes[0]}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.start = State((None,), self.nodes[b""])
-        self.states: dict[tuple, State] = {}
+        self.turn, self.round, self.drops = 0, 0, 0
+        self._reset([array("i", (0, -1)).tobytes()])
+
+    def _reset(self, states: list[bytes]) -> None:
+        self.states = states
+        self.number = {state: i for i, state in enumerate(states)}
+        self.final = np.full(self.max_states, -1, np.int64)
+        self.met = np.full(self.max_states, self.round, np.int64)  # the round in which a state was last met
+        self.transitions = Transitions()
+        self.seen: dict[int, int] = {}  # transitions that stream() met
+        self.tokens, self.bounds = array("I"), array("q", [0, 0])  # of emissions end to end; emission 0 is empty
 
     def merge(self, piece: bytes, until: int = 1) -> list[bytes]:
         """BPE by its definition, down to `until` parts at least: for the short strings that decide a transition."""
@@ -92,13 +135,13 @@ class Transducer:
     def _made(self, token: int) -> bool:
         return len(self.bytes[token]) == 1 or self._halves(token) is not None
 
-    def _fits(self, before: int | None, token: int) -> bool:
-        """Can `token` follow `before` (None: the start of the piece) in an encoding?
+    def _fits(self, before: int, token: int) -> bool:
+        """Can `token` follow `before` (-1: the start of the piece) in an encoding?
 
         Undo merges of the two, latest first. At each moment the parts that face each other must not have a merge that
         comes before the next one to be undone, for it would have been made.
         """
-        if before is None:
+        if before < 0:
             return True
         pair = before << 24 | token
         known = self.pairs.get(pair)
@@ -126,9 +169,10 @@ class Transducer:
         text = node.text + bytes((byte,))
         tokens = [(t, len(text) - i) for i in range(len(text)) if (t := self.ranks.get(text[i:])) is not None and self._made(t)]
         rest = next(text[i:] for i in range(len(text) + 1) if i == len(text) or text[i:] in self.starts)
-        if rest not in self.nodes:
-            self.nodes[rest] = Node(rest)
-        node.go[byte] = tuple(tokens), self.nodes[rest]
+        if rest not in self.node_of:
+            self.node_of[rest] = Node(rest, len(self.nodes), tuple(i for i in range(len(rest) + 1) if i == len(rest) or rest[i:] in self.starts))
+            self.nodes.append(self.node_of[rest])
+        node.go[byte] = tuple(tokens), self.node_of[rest]
         return node.go[byte]
 
     def _last(self, last, tokens) -> int:
@@ -138,30 +182,32 @@ class Transducer:
                 return token
         return tokens[-1][0]
 
-    def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        tokens, node = state.node.go.get(byte) or self._go(state.node, byte)
-        last, size = [*state.last, self._last(state.last, tokens)], self.size
-        n = len(last) - 1
+    def _held(self, state: int) -> tuple[Node, list[int]]:
+        node, *last = array("i", self.states[state])
+        return self.nodes[node], last
+
+    def _step(self, state: int, byte: int) -> tuple[bytes, tuple[int, ...]]:
+        node, last = self._held(state)
+        tokens, node = node.go.get(byte) or self._go(node, byte)
+        last.append(self._last(last, tokens))
+        size, n = self.size, len(last) - 1
         edge = n - len(node.text)
-        # Go back from every open end, the furthest first, until all readings meet: there the text is settled.
-        meeting = {edge}
-        for p in range(edge + 1, n + 1):
-            if (q := p - size[last[p]]) < edge:
-                meeting.add(q)
-        used = meeting.copy()
-        while len(meeting) > 1:
-            meeting.remove(top := max(meeting))
-            meeting.add(q := top - size[last[top]])
-            used.add(q)
-        (settled,) = meeting
-        emitted = self._back(last, settled)
-        for p in range(settled, edge):
-            if p == settled or p not in used:
-                last[p] = None  # no later token starts here, and no open reading ends here
-        key = tuple(last[settled:]), node.text
-        if key not in self.states:
-            self.states[key] = State(key[0], node)
-        return self.states[key], emitted
+        # Go back from every open place, the furthest first, until all readings meet: there the text is settled.
+        needed = {edge + p for p in node.open}
+        ways, settled = len(needed), n
+        while ways > 1 or settled not in needed:
+            if settled in needed:
+                back = settled - size[last[settled]]
+                if back in needed:
+                    ways -= 1
+                else:
+                    needed.add(back)
+            settled -= 1
+        emitted = self._back(last, settled) if settled else ()
+        for p in range(settled, n):
+            if p not in needed or (p == settled and p - edge not in node.open):
+                last[p] = -1  # no later token starts here, and no open reading ends here
+        return array("i", (node.number, *last[settled:])).tobytes(), emitted
 
     def _back(self, last, p: int) -> tuple[int, ...]:
         """The tokens of the reading that ends at p."""
@@ -171,31 +217,148 @@ class Transducer:
             p -= self.size[token]
         return tuple(out[::-1])
 
+    def _emission(self, tokens: tuple[int, ...]) -> int:
+        if not tokens:
+            return 0
+        self.tokens.extend(tokens)
+        self.bounds.append(len(self.tokens))
+        return len(self.bounds) - 2
+
+    def _drop(self, active: np.ndarray) -> np.ndarray:
+        """Keep the states that are active and those met last, three quarters of max_states in all; their new numbers, -1 for the others."""
+        n = len(self.states)
+        age = self.met[:n].copy()
+        age[active] = self.round + 1
+        age[0] = self.round + 2  # the start
+        keep = np.sort(np.argsort(-age, kind="stable")[: self.max_states * 3 // 4])
+        number = np.full(n, -1, np.int64)
+        number[keep] = np.arange(len(keep))
+        old, tokens, bounds, met = self.transitions, self.tokens, self.bounds, self.met[keep]
+        self._reset([self.states[i] for i in keep.tolist()])
+        self.met[: len(keep)] = met
+        held = old.keys >= 0
+        keys, values = old.keys[held], old.values[held]
+        a, b = number[keys >> 8], number[values >> 32]
+        stay = (a >= 0) & (b >= 0)
+        emissions = np.array([self._emission(tuple(tokens[bounds[e] : bounds[e + 1]])) for e in (values[stay] & 0xFFFFFFFF).tolist()], np.int64)
+        self.transitions.put(a[stay] << 8 | keys[stay] & 255, b[stay] << 32 | emissions)
+        self.drops += 1
+        self.turn = 0
+        return number
+
+    def _make(self, keys: np.ndarray) -> None:
+        """The transitions of these (state, byte), which are not known yet."""
+        values = []
+        for key in keys.tolist():
+            held, emitted = self._step(key >> 8, key & 255)
+            state = self.number.get(held)
+            if state is None:
+                state = self.number[held] = len(self.states)
+                self.states.append(held)
+                self.turn += 1
+            values.append(state << 32 | self._emission(emitted))
+        self.transitions.put(keys, np.array(values, np.int64))
+        if self.turn >= self.max_states // 8:
+            self.round, self.turn = self.round + 1, 0
+
+    def _finals(self, states: np.ndarray) -> np.ndarray:
+        """What is emitted where a piece ends."""
+        for state in np.unique(states[self.final[states] < 0]).tolist():
+            last = self._held(state)[1]
+            self.final[state] = self._emission(self._back(last, len(last) - 1))
+        return self.final[states]
+
+    def _resolve(self, owners: list[np.ndarray], emissions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and token of emissions, in order."""
+        owner, emission = np.concatenate(owners), np.concatenate(emissions)
+        bounds = np.frombuffer(self.bounds, np.int64)
+        first, sizes = bounds[emission], bounds[emission + 1] - bounds[emission]
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.repeat(owner, sizes), np.frombuffer(self.tokens, np.uint32)[at].astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+
+    def stream(self, piece: Iterable[int], state: int = 0) -> Iterator[tuple[int, ...]]:
+        """For each byte the tokens that it settles, and at the end what was open. One stream at a time."""
+        for byte in piece:
+            value = self.seen.get(state << 8 | byte)
+            if value is None:
+                key = np.array([state << 8 | byte])
+                value = int(self.transitions.find(key)[0])
+                if value < 0:
+                    if len(self.states) >= self.max_states:
+                        state = int(self._drop(np.array([state]))[state])
+                        key[0] = state << 8 | byte
+                    if self.transitions.find(key)[0] < 0:
+                        self._make(key)
+                    value = int(self.transitions.find(key)[0])
+                if len(self.seen) >= SEEN:
+                    self.seen.clear()
+                self.seen[state << 8 | byte] = value
+            state, emitted = value >> 32, value & 0xFFFFFFFF
+            self.met[state] = self.round
+            yield tuple(self.tokens[self.bounds[emitted] : self.bounds[emitted + 1]]) if emitted else ()
+        last = self._held(state)[1]
+        yield self._back(last, len(last) - 1)
+
     def encode(self, piece: bytes) -> list[int]:
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        state, out = self.start, []
-        for i, byte in enumerate(piece):
-            go = state.next.get(byte)
-            if go is None:
+        return self.encode_many([piece])[0].tolist()
+
+    def encode_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Their tokens end to end, and how many each has."""
+        out, sizes, most = [], [], max(1, self.max_states // 4 - 1)
+        for at in range(0, len(pieces), most):
+            owner, tokens = self._read(pieces[at : at + most])
+            order = np.argsort(owner, kind="stable")
+            out.append(tokens[order])
+            sizes.append(np.bincount(owner, minlength=min(most, len(pieces) - at)))
+        return np.concatenate([*out, np.zeros(0, np.uint32)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
+
+    def _read(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and token, each piece's in order: all pieces are read at once, then those few that are much longer one by one."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-lengths, kind="stable")
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        first = (np.cumsum(lengths) - lengths)[order]
+        lengths = lengths[order]
+        state = np.zeros(int((lengths > 0).sum()), np.int64)
+        owners, emissions, done, step = [order[:0]], [order[:0]], [], 0
+        while (n := len(state)) > FEW:
+            key = state << 8 | data[first[:n] + step]
+            value = self.transitions.find(key)
+            missing = np.unique(key[value < 0])
+            if len(missing):
+                if len(self.states) + len(missing) > self.max_states:
+                    done.append(self._resolve(owners, emissions))
+                    owners, emissions = [order[:0]], [order[:0]]
+                    state = self._drop(np.unique(state))[state]
+                    key = state << 8 | key & 255
+                    missing = np.unique(key[self.transitions.find(key) < 0])
+                self._make(missing)
+                value = self.transitions.find(key)
+            state, emission, step = value >> 32, value & 0xFFFFFFFF, step + 1
+            self.met[state] = self.round
+            some = np.flatnonzero(emission)
+            owners.append(order[some])
+            emissions.append(emission[some])
+            left = int(np.searchsorted(-lengths[:n], -step))  # longer ones come first
+            if left < n:
+                owners.append(order[left:n])
+                emissions.append(self._finals(state[left:]))
+                state = state[:left]
+        done.append(self._resolve(owners, emissions))
+        rest = [(self.states[x], int(i), int(a)) for x, i, a in zip(state.tolist(), order, first, strict=False)]
+        for held, i, a in rest:
+            x = self.number.get(held)
+            if x is None:  # dropped since
                 if len(self.states) >= self.max_states:
-                    return out + self._simulate(state, piece[i:])
-                go = state.next[byte] = self._step(state, byte)
-            state, emitted = go
-            if emitted:
-                out += emitted
-        if state.final is None:
-            state.final = self._back(state.last, len(state.last) - 1)
-        out += state.final
-        return out
-
-    def _simulate(self, state: State, rest: bytes) -> list[int]:
-        """Go on without making states, once there are max_states: the same readings, kept as a list."""
-        last, node = list(state.last), state.node
-        for byte in rest:
-            tokens, node = node.go.get(byte) or self._go(node, byte)
-            last.append(tokens[0][0] if len(tokens) == 1 else self._last(last, tokens))
-        return list(self._back(last, len(last) - 1))
+                    self._drop(np.zeros(1, np.int64))
+                x = self.number[held] = len(self.states)
+                self.states.append(held)
+                self.met[x] = self.round
+            end = a + len(pieces[i])
+            tokens = [t for emitted in self.stream(data[a + step : end].tolist(), x) for t in emitted]
+            done.append((np.full(len(tokens), i), np.array(tokens, np.uint32)))
+        return np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done])
 
 
 class Utf8Machine:
@@ -242,7 +405,7 @@ class Tokenizer:
             at += len(token)
         self.held = np.frombuffer(b"".join(held), np.uint8)
         self.names = [str(i) for i in range(top)]
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # ids as 32-bit numbers, of chunks without their space
         self.older: dict[str, bytes] = {}
 
     @classmethod
@@ -254,31 +417,84 @@ class Tokenizer:
             cls._open[path, pattern] = cls(ranks, pattern)
         return cls._open[path, pattern]
 
-    def _piece(self, piece: str) -> list[int]:
-        return self.machine.encode(piece.encode())
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces end to end, and how many each has; equal pieces are encoded once."""
+        number: dict[str, int] = {}
+        turn = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
+        raw = [p.encode() for p in number]
+        rank = np.array([self.machine.ranks.get(p, -1) for p in raw], np.int64)
+        whole = np.flatnonzero(rank >= 0)
+        made, sizes = self.machine.encode_many([raw[i] for i in np.flatnonzero(rank < 0).tolist()])
+        first, size = np.zeros(len(raw), np.int64), np.ones(len(raw), np.int64)
+        first[whole] = np.arange(len(whole))
+        size[rank < 0] = sizes
+        first[rank < 0] = len(whole) + np.cumsum(sizes) - sizes
+        ids = np.concatenate([rank[whole].astype(np.uint32), made])
+        sizes = size[turn]
+        ends = np.cumsum(sizes)
+        return ids[np.repeat(first[turn] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of some texts or chunks, as 32-bit numbers."""
+        pieces = [self.pattern.findall(t) for t in texts]
+        ids, sizes = self._pieces([p for found in pieces for p in found])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, pieces)])] * 4
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, each led by a space: they are matched in one text, where no match may cross a chunk's end."""
+        if not chunks:
+            return []
+        pieces = self.pattern.findall(" " + " ".join(chunks))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        want = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        last = np.searchsorted(ends, want)
+        if not len(ends) or ends[-1] != want[-1] or (ends[last] != want).any():
+            return self._texts([" " + c for c in chunks])
+        ids, sizes = self._pieces(pieces)
+        ends = (np.cumsum(sizes)[last] * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _known(self, chunks: dict[str, None]) -> dict[str, bytes]:
+        """The ids of chunks that are not in the younger half of what is remembered."""
+        out = {c: f for c in chunks if (f := self.older.get(c)) is not None}
+        new = [c for c in chunks if c not in out]
+        out.update(zip(new, self._spaced(new), strict=True))
+        if len(self.chunks) + len(out) > MAX_CHUNKS:
+            self.older, self.chunks = self.chunks, {}
+        self.chunks.update((c, f) for c, f in zip(out, out.values(), strict=True) if len(c) <= 64 and len(self.chunks) < MAX_CHUNKS)
+        return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        """The ids of one chunk as 32-bit numbers, from the older half of what is remembered or made now."""
-        found = self.older.get(chunk)
-        if found is None:
-            found = np.array([i for piece in self.pattern.findall(chunk) for i in self._piece(piece)], np.uint32).tobytes()
-        if len(chunk) <= 64:
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.older, self.chunks = self.chunks, {}
-            self.chunks[chunk] = found
-        return found
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [[t] if SPACE_THEN_SPACE.search(t) else t.split(" ") for t in texts]
+        first = self._texts([c[0] for c in cut])
+        get, rows, holes, missing = self.chunks.get, [], [], {}
+        for chunks in cut:
+            rows.append(row := list(map(get, chunks[1:])))
+            holes.append(at := [i for i, f in enumerate(row) if f is None] if None in row else [])
+            missing.update((chunks[i + 1], None) for i in at)
+        made = self._known(missing)
+        out = []
+        for head, chunks, row, at in zip(first, cut, rows, holes, strict=True):
+            for i in at:
+                row[i] = made[chunks[i + 1]]
+            out.append(np.frombuffer(b"".join([head, *row]), np.uint32))
+        return out
+
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in turn."""
+        at = 0
+        while at < len(texts):
+            to, n = at, 0
+            while to < len(texts) and (to == at or n + len(texts[to]) <= GROUP_CHARS):
+                n, to = n + len(texts[to]), to + 1
+            yield from self._group(texts[at:to])
+            at = to
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if SPACE_THEN_SPACE.search(text):
-            return np.frombuffer(self._chunk(text), np.uint32)
-        first, *others = text.split(" ")
-        parts = [self._chunk(first)] if first else []
-        for chunk in others:
-            chunk = " " + chunk
-            parts.append(self.chunks.get(chunk) or self._chunk(chunk))
-        return np.frombuffer(b"".join(parts), np.uint32)
+        return next(self.encode_many([text]))
 
     def decimal(self, ids: np.ndarray) -> str:
         """Ids as decimal numbers joined by commas."""
@@ -319,7 +535,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     def run(batches):
         tokenizer = Tokenizer.open(path, pattern)
         for batch in _rows(batches):
-            ids = [tokenizer.encode(t or "").astype(np.int32) for t in column(batch, "__text").to_pylist()]
+            ids = [x.astype(np.int32) for x in tokenizer.encode_many([t or "" for t in column(batch, "__text").to_pylist()])]
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))], schema=arrow)
 
@@ -351,8 +567,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
         tokenizer = Tokenizer.open(path, pattern)
         for batch in _rows(batches):
             sizes, names, texts, held = [], [], [], [np.zeros(0, np.int32)]
-            for text in column(batch, "__text").to_pylist():
-                ids = tokenizer.encode(text or "")
+            for ids in tokenizer.encode_many([t or "" for t in column(batch, "__text").to_pylist()]):
                 sizes.append(len(ids))
                 if with_ids:
                     held.append(ids.view(np.int32))

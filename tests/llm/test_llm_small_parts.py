@@ -135,6 +135,30 @@ def test_transducer(text, states):
     assert machine.encode(piece) == by_definition(TOY, piece) == machine.encode(piece)
 
 
+@given(st.lists(st.text("abc ", max_size=12), max_size=80), st.sampled_from([2, 100, 10000]))
+@settings(max_examples=100, deadline=None)
+def test_transducer_reads_many_pieces_at_once(texts, states):
+    machine = Transducer(TOY, states)
+    pieces = [t.encode() for t in texts]
+    ids, sizes = machine.encode_many(pieces)
+    ends = np.cumsum(sizes)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [by_definition(TOY, p) for p in pieces]
+
+
+@pytest.mark.parametrize("states", [10, 10000])
+def test_transducer_emits_early(states):
+    """On a piece of 300 kB no byte waits for more than two of the longest tokens, however few states are kept."""
+    rng = random.Random(1)
+    piece = bytes(rng.choice(b"aaabbc ") for _ in range(300_000))
+    machine, read, given_, longest = Transducer(TOY, states), 0, 0, max(map(len, TOY))
+    for emitted in machine.stream(piece):
+        read += 1
+        given_ += sum(machine.size[t] for t in emitted)
+        assert read - given_ <= 2 * longest or read > len(piece)
+    assert given_ == len(piece) and len(machine.states) <= states
+    assert (machine.drops > 0) == (states == 10)
+
+
 @given(st.text(max_size=40), st.lists(st.integers(0, 160), max_size=6))
 @settings(deadline=None)
 def test_utf8_machine(text, cuts):
@@ -166,6 +190,10 @@ def test_against_tiktoken():
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     want, ours = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.open(path, P.PATTERN)
+    texts += [" ".join(rng.choice(["x", "yz" * 40, "the", "\u00e9\u00e8"]) for _ in range(20_000)), "abcdefgh" * 40_000]
+    few = Tokenizer(ranks, P.PATTERN)
+    few.machine = Transducer(ranks, 100)
+    assert [x.tolist() for x in few.encode_many(texts)] == [want.encode_ordinary(t) for t in texts] and few.machine.drops
     for t in texts:
         ids = ours.encode(t).tolist()
         assert ids == want.encode_ordinary(t) and ours.decode(ids) == t.encode() and "".join(ours.decode_stream(ids, 2)) == t

@@ -79,7 +79,7 @@ class Transitions:
         if 2 * (self.n + len(keys)) > len(self.keys):
             held = self.keys >= 0
             old = self.keys[held], self.values[held]
-            self.__init__(1 << (4 * (self.n + len(keys))).bit_length())
+            self.__init__(1 << (2 * (self.n + len(keys))).bit_length())
             self.put(*old)
         self.n += len(keys)
         at = self._slot(keys)
@@ -233,14 +233,21 @@ class Transducer:
         keep = np.sort(np.argsort(-age, kind="stable")[: self.max_states * 3 // 4])
         number = np.full(n, -1, np.int64)
         number[keep] = np.arange(len(keep))
-        old, tokens, bounds, met = self.transitions, self.tokens, self.bounds, self.met[keep]
+        old, tokens, bounds, met = self.transitions, np.array(self.tokens, np.uint32), np.array(self.bounds, np.int64), self.met[keep]
         self._reset([self.states[i] for i in keep.tolist()])
         self.met[: len(keep)] = met
         held = old.keys >= 0
         keys, values = old.keys[held], old.values[held]
         a, b = number[keys >> 8], number[values >> 32]
         stay = (a >= 0) & (b >= 0)
-        emissions = np.array([self._emission(tuple(tokens[bounds[e] : bounds[e + 1]])) for e in (values[stay] & 0xFFFFFFFF).tolist()], np.int64)
+        given = values[stay] & 0xFFFFFFFF
+        some = np.flatnonzero(given)
+        first, sizes = bounds[given[some]], bounds[given[some] + 1] - bounds[given[some]]
+        ends = np.cumsum(sizes)
+        self.tokens.frombytes(tokens[np.repeat(first - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes())
+        self.bounds.frombytes(ends.tobytes())
+        emissions = np.zeros(len(given), np.int64)
+        emissions[some] = 1 + np.arange(len(some))
         self.transitions.put(a[stay] << 8 | keys[stay] & 255, b[stay] << 32 | emissions)
         self.drops += 1
         self.turn = 0

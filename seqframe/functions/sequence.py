@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import col, guarded
+from ..schema import by_place, col, guarded
 from .alphabet import COMPLEMENTS, DNA, PROTEIN, RNA, count_of, detect_alphabet, is_valid, require_alphabet
 
 
@@ -92,8 +92,8 @@ def seq_slice(s: Column | str, start: int | None = None, stop: int | None = None
     if step == 1:
         return F.when(a < b, F.substring(s, a + 1, b - a)).when(s.isNotNull(), "")
     some = a < b if step > 0 else a > b
-    picked = F.transform(F.sequence(a, F.when(some, b - (1 if step > 0 else -1)).otherwise(a), F.when(some, F.lit(step)).otherwise(F.lit(1))), lambda i: F.substring(s, i + 1, F.lit(1)))
-    return F.when(some, F.array_join(picked, "")).when(s.isNotNull(), "")
+    places = F.sequence(a, F.when(some, b - (1 if step > 0 else -1)).otherwise(a), F.when(some, F.lit(step)).otherwise(F.lit(1)))
+    return F.when(some, by_place(s, lambda pick: F.array_join(F.transform(places, lambda i: pick(i, F.lit(1))), ""))).when(s.isNotNull(), "")
 
 
 def view_slide(start, end, size, offset, mode: str = "strict") -> Column:
@@ -228,8 +228,10 @@ def mask(s: Column | str, positions, mask_char: str = "N", mode: str = "strict")
             value = F.overlay(value, F.lit(mask_char), F.lit(p + 1), F.lit(1))
         return guarded(n > max(positions, default=-1), value, "index out of bounds", mode)
     at = col(positions)
-    one = lambda i: F.when(F.array_contains(at, i), F.lit(mask_char)).otherwise(F.substring(s, i + 1, F.lit(1)))
-    value = F.when(n == 0, s).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one), ""))
+    # The text between two masked places, joined by the mask.
+    edges = F.concat(F.array(F.lit(-1)), F.array_sort(F.array_distinct(F.filter(at, lambda i: i.isNotNull() & (i >= 0)))), F.array(n))
+    parts = lambda pick, e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: pick(F.get(e, k) + 1, F.get(e, k + 1) - F.get(e, k) - 1))
+    value = F.when(n == 0, s).otherwise(F.transform(F.array(edges), lambda e: by_place(s, lambda pick: F.array_join(parts(pick, e), mask_char)))[0])
     return guarded(F.coalesce(F.array_max(at), F.lit(-1)) < n, value, "index out of bounds", mode)
 
 
@@ -240,10 +242,11 @@ def concatenate(s1, s2, alphabet1=None, alphabet2=None, mode: str = "strict") ->
 
 
 def random_dna(length, key, seed: int = 0) -> Column:
-    """ACGT by hash of seed, key and place: the same again when a task is run again."""
+    """ACGT from SHA-256 of seed, key and block, 64 bases a block: the same again when a task is run again."""
     n = _int(length)
-    one = lambda i: F.substring(F.lit("ACGT"), F.pmod(F.xxhash64(F.lit(seed), col(key), i), F.lit(4)).cast("int") + 1, F.lit(1))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), "")).otherwise("")
+    block = lambda i: F.translate(F.sha2(F.concat_ws(":", F.lit(str(seed)), col(key).cast("string"), i.cast("string")), 256), "0123456789abcdef", "ACGTACGTACGTACGT")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / 64).cast("int"), F.lit(0))), block)
+    return F.when(n > 0, F.substring(F.array_join(blocks, ""), F.lit(1), n)).otherwise("")
 
 
 # Search
@@ -253,7 +256,7 @@ def find_all(s: Column | str, pattern) -> Column:
     s, p = col(s), _text(pattern)
     n, m = F.length(s), F.length(p)
     none = F.array().cast("array<int>")
-    found = F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), lambda i: F.substring(s, i + 1, m) == p)
+    found = by_place(s, lambda pick: F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), lambda i: pick(i, m) == p))
     return F.when(s.isNull() | p.isNull(), F.lit(None)).when((m == 0) | (m > n), none).otherwise(found)
 
 

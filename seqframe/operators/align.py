@@ -21,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import ALIGN_STRUCT, SequenceError, col
+from ..schema import ALIGN_STRUCT, SequenceError, by_place, col
 
 GLOBAL, LOCAL, SEMI_GLOBAL = "global", "local", "semiglobal"
 #: Pairs of at most so many cells keep the moves of the only pass.
@@ -257,7 +257,9 @@ def edit_distance(seq1: Column | str, seq2: Column | str) -> Column:
 def alignment_identity(aligned1: Column, aligned2: Column) -> Column:
     """Percent identity of two gapped strings, without a Python worker."""
     n = F.length(aligned1)
-    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.substring(aligned1, i, F.lit(1)) == F.substring(aligned2, i, F.lit(1))) & (F.substring(aligned1, i, F.lit(1)) != "-")))
+    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    one = lambda pick1, pick2: lambda i: (pick1(i, F.lit(1)) == pick2(i, F.lit(1))) & (pick1(i, F.lit(1)) != "-")
+    same = by_place(aligned1, lambda pick1: by_place(aligned2, lambda pick2: F.size(F.filter(places, one(pick1, pick2)))))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.lit(100.0) * same / F.when(n == 0, 1).otherwise(n))
 
 

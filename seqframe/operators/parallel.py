@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import by_place
+
 MIN_CHUNK, CHUNKS_PER_THREAD = 1024, 4
 
 
@@ -64,8 +66,8 @@ def progress(spark: SparkSession) -> float:
 
 def chunk_slice(s: Column, size: int) -> Column:
     """Consecutive pieces of `size` characters, the last one shorter; none of an empty string."""
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(size)), lambda i: F.substring(s, i + 1, F.lit(size)))
-    return F.when(F.length(s) == 0, F.slice(pieces, 1, 0)).otherwise(pieces)
+    starts = F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(size))
+    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(by_place(s, lambda pick: F.transform(starts, lambda i: pick(i, F.lit(size)))))
 
 
 def split_join(df: DataFrame, id_col: str, split: Column, process: Callable[[Column], Column], join: Callable[[Column], Column]) -> DataFrame:
@@ -76,12 +78,13 @@ def split_join(df: DataFrame, id_col: str, split: Column, process: Callable[[Col
 
 
 def process_file(spark: SparkSession, path, fn: Callable[[bytes], object], out_type: str, min_chunk: int = 1 << 20, threads: int = 8) -> DataFrame:
-    """fn over byte ranges of files (not aligned to records): path, start, result."""
+    """fn over byte ranges of files (not aligned to records): path, start, result. A file is cut once; it is one row, of 2 GB at most."""
     files = spark.read.format("binaryFile").load(path)
     share = F.greatest(F.ceil(F.col("length") / (threads * CHUNKS_PER_THREAD)), F.lit(min_chunk))
-    size = (F.ceil(share / MIN_CHUNK) * MIN_CHUNK).cast("long")
-    rows = files.select("path", "content", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), size)).alias("start"))
-    chunks = rows.select("path", "start", F.expr("substring(content, cast(start as int) + 1, cast(size as int))").alias("chunk"))
+    size = (F.ceil(share / MIN_CHUNK) * MIN_CHUNK).cast("int")
+    starts = F.sequence(F.lit(0), F.greatest(F.col("length").cast("int") - 1, F.lit(0)), F.col("size"))
+    cut = F.transform(starts, lambda i: F.struct(i.cast("long").alias("start"), F.substring("content", i + 1, F.col("size")).alias("chunk")))
+    chunks = files.select("path", "content", "length", size.alias("size")).select("path", F.inline(cut))
 
     @F.pandas_udf(out_type)
     def run(values: pd.Series) -> pd.Series:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import find_all
+from ..schema import by_place
 
 
 def find_all_long(df: DataFrame, id_col: str, seq_col: str, pattern: str, piece: int = 1 << 20, partitions: int | None = None) -> DataFrame:
@@ -13,9 +14,10 @@ def find_all_long(df: DataFrame, id_col: str, seq_col: str, pattern: str, piece:
     if not pattern:
         return df.select(id_col, F.lit(0).alias("position")).limit(0)
     s = F.col(seq_col)
-    starts = F.when(F.length(s) > 0, F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(piece)))
-    pieces = df.select(id_col, s, F.explode(starts).alias("start"))
-    pieces = pieces.select(id_col, "start", F.substring(s, F.col("start") + 1, F.lit(piece + len(pattern) - 1)).alias("piece"))
+    size = F.lit(piece + len(pattern) - 1)
+    starts = F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(piece))
+    cut = by_place(s, lambda pick: F.transform(starts, lambda i: F.struct(i.alias("start"), pick(i, size).alias("piece"))))
+    pieces = df.filter(F.length(s) > 0).select(id_col, F.inline(cut))
     if partitions:
         pieces = pieces.repartition(partitions)
     return pieces.select(id_col, "start", F.explode(find_all("piece", pattern)).alias("at")).select(id_col, (F.col("start") + F.col("at")).alias("position"))

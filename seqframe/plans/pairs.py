@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import by_place
+
 
 def kmers(s: Column, k: int) -> Column:
     """All k-mers in order (an extension)."""
     n = F.length(s)
-    found = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.substring(s, i + 1, F.lit(k)))
-    return F.when(n >= k, found).otherwise(F.slice(found, 1, 0))
+    found = by_place(s, lambda pick: F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: pick(i, F.lit(k))))
+    return F.when(n >= k, found).when(n.isNotNull(), F.array().cast("array<string>"))
 
 
 def kmer_counts(df: DataFrame, seq_col: str, k: int) -> DataFrame:

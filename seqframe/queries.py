@@ -1,8 +1,8 @@
 """Driver queries of the sequence operators and their oracle SQL.
 
 The tables hold no sequences, so they are derived from the whole texts of `documents`: the view dna keeps A, C, G, T, N of
-either case, the view protein the characters of the protein alphabet. Alignment works on pairs of the whole sequence
-and its reverse; edit_distance alone, whose oracle SQL is given so, on the first 60 bases (edit_distance_whole on all).
+either case, the view rna is dna transcribed, the view protein the characters of the protein alphabet. Alignment works on
+pairs of the whole sequence and its reverse.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "lang", _clean(F.col("text"), A.CHARS[A.DNA]).alias("s"))
 
 
+def rna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dna(spark, sf_dir).withColumn("s", A.dna_to_rna("s"))
+
+
 def protein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "lang", _clean(F.col("text"), A.CHARS[A.PROTEIN]).alias("s"))
 
@@ -106,11 +110,6 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.repartition(4 * spark.sparkContext.defaultParallelism)
 
 
-def _edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = dna(spark, sf_dir).select("doc_id", F.substring("s", 1, 60).alias("a"))
-    return s.select("doc_id", L.edit_distance("a", F.reverse("a")).alias("result"))
-
-
 def _aligned(mode: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs = _pairs(spark, sf_dir).filter("a <> ''")
@@ -178,6 +177,57 @@ def _unpacked_protein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protein(spark, sf_dir).select("doc_id", P.pack_protein("s").alias("p")).select("doc_id", P.unpack_protein("p").alias("result"), P.memory_usage("p").alias("n_bytes"))
 
 
+def _mask_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.array(F.length("s") - 1, F.lit(0), F.lit(0))
+    return dna(spark, sf_dir).select("doc_id", "s", ends.alias("at")).select("doc_id", S.mask("s", "at", "N", "null").alias("result"))
+
+
+def _constructors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = {"dna": A.dna_to_rna(S.as_dna("s", "null")), "rna": S.as_rna(A.dna_to_rna("s"), "null"), "protein": S.as_protein("s", "null"), "any": S.as_sequence("s", "null"), "kind": S.alphabet_or_dna("s")}
+    return protein(spark, sf_dir).select("doc_id", *(F.md5(v).alias(k) for k, v in made.items()))
+
+
+def _rna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = {"complement": S.complement("s", A.RNA), "reverse_complement": S.reverse_complement("s", A.RNA), "dna": A.rna_to_dna("s"), "engine": A.complement_sequence("s", A.RNA)}
+    return rna(spark, sf_dir).select("doc_id", S.gc_content("s", A.RNA).alias("gc"), A.is_valid("s", A.RNA).alias("valid"), A.detect_alphabet("s").alias("alphabet"), *(v.alias(k) for k, v in made.items()))
+
+
+def _small_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = dna(spark, sf_dir)
+    return s.select("doc_id", S.is_empty("s").alias("empty"), F.octet_length(S.to_bytes("s")).alias("n_bytes"), S.equal("s", F.reverse("s")).alias("palindrome"), S.subsequence_clamped("s", 5, 25).alias("clamped"), F.size(S.view_find_all(F.rpad("s", F.greatest(F.length("s"), F.lit(40)), "N"), 4, 40, "a")).alias("in_view"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = F.create_map().cast("map<string,string>")
+    tags = api.add_metadata(api.add_metadata(empty, "lang", F.lit("none")), "lang", F.col("lang"))
+    made = dna(spark, sf_dir).select("doc_id", api.record(F.col("doc_id").cast("string"), F.col("s"), metadata=tags).alias("r"))
+    return made.select("doc_id", F.length("r.seq").alias("n"), api.get_metadata(F.col("r.metadata"), "lang").alias("lang"), api.get_metadata(F.col("r.metadata"), "date").alias("date"))
+
+
+def _detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dna(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("s").alias("seq"), F.repeat(F.lit("I"), F.length("s")).alias("quality"))
+    found = []
+    for name in api.FORMATS:
+        api.create_writer(name)(rows, path := _shared(spark))
+        found.append((name, api.detect_format(spark, path), api.read_sequences(spark, path).count()))
+    return spark.createDataFrame(found, "written string, detected string, n long")
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dna(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("s").alias("seq"), F.repeat(F.lit("#"), F.length("s")).alias("quality"))
+    path = _shared(spark)
+    api.write_fastq(rows.filter("length(seq) % 2 = 0"), path)
+    api.append_fastq(rows.filter("length(seq) % 2 = 1"), path)
+    return api.read_fastq(spark, path).select(F.col("id").cast("long").alias("doc_id"), "seq", "quality")
+
+
+def _process_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _shared(spark)
+    api.write_fasta(dna(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("s").alias("seq")), path)
+    counted = X.process_file(spark, path, lambda chunk: chunk.count(b">"), "long")
+    return counted.agg(F.sum("result").alias("n_records"))
+
+
 QUERIES = {
     "flagship": flagship,
     "detect_alphabet": _each(lambda: A.detect_alphabet("s"), protein),
@@ -207,10 +257,23 @@ QUERIES = {
     "count": _each(lambda: S.count("s", "ata")),
     "kmp_search": _each(lambda: F.array_join(F.transform(S.kmp_search("s", "tion"), lambda x: x.cast("string")), ",")),
     "long_search": _long_search,
+    "boyer_moore_search": _each(lambda: F.array_join(F.transform(S.boyer_moore_search("s", "tnta"), lambda x: x.cast("string")), ",")),
+    "mask_column": _mask_ends,
+    "constructors": _constructors,
+    "rna": _rna,
+    "small_parts": _small_parts,
+    "records": _records,
+    "detect_format": _detect_format,
+    "append_fastq": _appended,
+    "process_file": _process_file,
+    "pack_dna_expr": lambda spark, sf_dir: dna(spark, sf_dir).select("doc_id", P.pack_dna_expr("s").alias("p")).select("doc_id", F.hex("p.data").alias("data"), P.unpack_dna("p").alias("result")),
+    "identity": _each(lambda: F.round(L.alignment_identity(F.col("s"), F.reverse("s")), 9)),
+    "to_fasta_wide": _each(lambda: fasta.to_fasta(F.col("doc_id").cast("string"), None, F.col("s"), 17)),
+    "to_fastq": _each(lambda: fastq.to_fastq(F.col("doc_id").cast("string"), F.col("lang"), F.col("s"), F.repeat(F.lit("I"), F.length("s")))),
     "mask": _each(lambda: S.mask("s", [0, 3], "N", "null")),
     "concatenate": _concatenated,
     "molecular_weight": lambda spark, sf_dir: protein(spark, sf_dir).select("doc_id", F.round(S.molecular_weight("s"), 2).alias("result")),
-    "random_dna": _each(lambda: S.random_dna(F.least(F.col("doc_id").cast("int") % 50, F.lit(50)), "doc_id", 7)),
+    "random_dna": _each(lambda: S.random_dna(F.length("s"), "doc_id", 7)),
     "pack_dna": _unpacked,
     "pack_protein": _unpacked_protein,
     "metadata": _metadata,
@@ -219,8 +282,7 @@ QUERIES = {
     "parse_fasta": _parse_fasta,
     "parse_fastq": _parse_fastq,
     "to_fasta": _each(lambda: fasta.to_fasta(F.col("doc_id").cast("string"), F.col("lang"), F.col("s"))),
-    "edit_distance": _edit_distance,
-    "edit_distance_whole": lambda spark, sf_dir: _pairs(spark, sf_dir).select("doc_id", L.edit_distance("a", "b").alias("result")),
+    "edit_distance": lambda spark, sf_dir: _pairs(spark, sf_dir).select("doc_id", L.edit_distance("a", "b").alias("result")),
     "align_global": _aligned(L.GLOBAL),
     "align_local": _aligned(L.LOCAL),
     "align_semiglobal": _aligned(L.SEMI_GLOBAL),
@@ -274,13 +336,27 @@ ORACLES = {
     "molecular_weight": _PROTEIN + "SELECT doc_id, round(CASE WHEN s = '' THEN 0.0 ELSE 18.015::DOUBLE" + "".join(f" + {_n(c + c.lower())} * {m}::DOUBLE" for c, m in S.RESIDUE_MASSES.items()) + " END, 2) AS result FROM protein",
     "pack_protein": _PROTEIN + "SELECT doc_id, translate(upper(s), 'STWYV*', 'XXXXXX') AS result, CAST((length(s) + 1) // 2 AS INT) AS n_bytes FROM protein",
     "pack_dna": _DNA + "SELECT doc_id, coalesce(array_to_string(list_transform(range(0, (length(s) + 3) // 4), lambda b: upper(printf('%02x', CAST(list_sum(list_transform(range(0, 4), lambda j: greatest(strpos('CGT', upper(substr(s || '', CAST(4 * b + j + 1 AS BIGINT), 1))) * CASE WHEN 4 * b + j < length(s) THEN 1 ELSE 0 END, 0) * CAST(4 ** (3 - j) AS INT))) AS INT)))), ''), '') AS data, translate(upper(s), 'N', 'A') AS result FROM dna",
+    "pack_dna_expr": _DNA + "SELECT doc_id, coalesce(array_to_string(list_transform(range(0, (length(s) + 3) // 4), lambda b: upper(printf('%02x', CAST(list_sum(list_transform(range(0, 4), lambda j: greatest(strpos('CGT', upper(substr(s || '', CAST(4 * b + j + 1 AS BIGINT), 1))) * CASE WHEN 4 * b + j < length(s) THEN 1 ELSE 0 END, 0) * CAST(4 ** (3 - j) AS INT))) AS INT)))), ''), '') AS data, translate(upper(s), 'N', 'A') AS result FROM dna",
     "metadata": "WITH dna AS (SELECT doc_id, CASE WHEN lang <> 'en' THEN lang END AS d, regexp_replace(text, '[^ACGTNacgtn]', '', 'g') AS s FROM documents) SELECT doc_id, d || ' (reversed) (reverse complement) (transcribed)' AS description, translate(translate(s, 'ACGTacgt', 'TGCAtgca'), 'Tt', 'Uu') AS seq, 'RNA' AS alphabet FROM dna",
     "fasta_round_trip": _DNA + "SELECT doc_id, 'lang ' || lang AS description, s AS seq, 'DNA' AS alphabet FROM dna WHERE s <> ''",
     "fastq_round_trip": _DNA + "SELECT doc_id, lang AS description, s AS seq, repeat('I', length(s)) AS quality FROM dna",
     "parse_fasta": _DNA + "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS description, s AS seq FROM dna WHERE s <> ''",
     "parse_fastq": _DNA + "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS description, s AS seq, repeat('I', length(s)) AS quality FROM dna",
     "to_fasta": _pick(f"'>' || doc_id || ' ' || lang || chr(10) || CASE WHEN s = '' THEN '' ELSE {_wrap} || chr(10) END"),
-    "edit_distance": _DNA + "SELECT doc_id, levenshtein(left(s, 60), reverse(left(s, 60)))::INT AS result FROM dna",
+    "edit_distance": _pick("levenshtein(s, reverse(s))::INT"),
+    "random_dna": _pick("left(coalesce(array_to_string(list_transform(range(0, (length(s) + 63) // 64), lambda i: translate(sha256('7:' || doc_id || ':' || i), '0123456789abcdef', 'ACGTACGTACGTACGT')), ''), ''), length(s))"),
+    "boyer_moore_search": _pick(f"coalesce(array_to_string({_find('tnta')}, ','), '')"),
+    "mask_column": _pick("CASE WHEN s = '' THEN NULL WHEN length(s) = 1 THEN 'N' ELSE 'N' || substr(s, 2, length(s) - 2) || 'N' END"),
+    "constructors": _PROTEIN + "SELECT doc_id, CASE WHEN regexp_full_match(s, '[ACGTNacgtn]*') THEN md5(translate(s, 'Tt', 'Uu')) END AS dna, CASE WHEN regexp_full_match(s, '[ACGTNacgtn]*') THEN md5(translate(s, 'Tt', 'Uu')) END AS rna, md5(s) AS protein, md5(s) AS any, md5(CASE WHEN regexp_full_match(s, '[ACGTNacgtn]*') THEN 'DNA' ELSE 'Protein' END) AS kind FROM protein",
+    "rna": _DNA + f"SELECT doc_id, CASE WHEN s = '' THEN 0.0::DOUBLE ELSE {_n('GCgc')}::DOUBLE / length(s) * 100.0::DOUBLE END AS gc, TRUE AS valid, CASE WHEN regexp_matches(s, '[Tt]') THEN 'RNA' ELSE 'DNA' END AS alphabet, translate(translate(s, 'ACGTacgt', 'TGCAtgca'), 'Tt', 'Uu') AS complement, reverse(translate(translate(s, 'ACGTacgt', 'TGCAtgca'), 'Tt', 'Uu')) AS reverse_complement, s AS dna, translate(translate(s, 'ACGTacgt', 'TGCAtgca'), 'Tt', 'Uu') AS engine FROM dna",
+    "small_parts": _DNA + "SELECT doc_id, s = '' AS empty, strlen(s)::INT AS n_bytes, s = reverse(s) AS palindrome, substr(s, 6, 20) AS clamped, length(regexp_replace(substr(s, 5, 36), '[^a]', '', 'g'))::INT AS in_view FROM dna",
+    "records": _DNA + "SELECT doc_id, length(s)::INT AS n, lang, CAST(NULL AS VARCHAR) AS date FROM dna",
+    "detect_format": _DNA + "SELECT unnest(['FASTA', 'FASTQ']) AS written, unnest(['FASTA', 'FASTQ']) AS detected, unnest([count(*) FILTER (s <> ''), count(*)]) AS n FROM dna",
+    "append_fastq": _DNA + "SELECT doc_id, s AS seq, repeat('#', length(s)) AS quality FROM dna",
+    "process_file": _DNA + "SELECT count(*) AS n_records FROM dna",
+    "identity": _pick("CASE WHEN s = '' THEN 0.0::DOUBLE ELSE round(100.0::DOUBLE * len(list_filter(range(0, length(s)), lambda i: substr(s, CAST(i + 1 AS BIGINT), 1) = substr(s, CAST(length(s) - i AS BIGINT), 1))) / length(s), 9) END"),
+    "to_fasta_wide": _pick("'>' || doc_id || chr(10) || CASE WHEN s = '' THEN '' ELSE rtrim(regexp_replace(s, '(.{17})', '\\1' || chr(10), 'g'), chr(10)) || chr(10) END"),
+    "to_fastq": _pick("'@' || doc_id || ' ' || lang || chr(10) || s || chr(10) || '+' || chr(10) || repeat('I', length(s)) || chr(10)"),
     "chunk_slice": _DNA + "SELECT doc_id, (i // 500)::INT AS chunk, substr(s, CAST(i + 1 AS BIGINT), 500) AS piece FROM (SELECT doc_id, s, unnest(range(0, length(s), 500)) AS i FROM dna)",
     "split_join": _DNA + "SELECT doc_id, translate(s, 'ACGTUNacgtun', 'TGCAANTGCAAN') AS result FROM dna WHERE s <> ''",
     "map_items": _pick(f"CAST({_n('A')} + 2 * {_n('t')} AS BIGINT)"),

@@ -26,6 +26,16 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def by_place(s: Column, body) -> Column:
+    """body(pick), where pick(i, m) is the text of m characters from place i on.
+
+    In ASCII text, which all sequences are, a place is found at once: the bytes are bound to one variable and sliced. In
+    other text each pick walks the string from its start.
+    """
+    fast = F.transform(F.array(s.cast("binary")), lambda b: body(lambda i, m: F.substring(b, i + 1, m).cast("string")))[0]
+    return F.when(F.octet_length(s) == F.length(s), fast).otherwise(body(lambda i, m: F.substring(s, i + 1, m)))
+
+
 def guarded(valid: Column, value: Column, message: str, mode: str) -> Column:
     """value where valid; elsewhere an error or NULL. A NULL input gives NULL in both modes."""
     if mode not in MODES:

@@ -95,6 +95,10 @@ def append_fasta(df: DataFrame, path: str, **options) -> None:
     write_sequences(df, path, "FASTA", mode="append", **options)
 
 
+def append_fastq(df: DataFrame, path: str, **options) -> None:
+    write_sequences(df, path, "FASTQ", mode="append", **options)
+
+
 def write_string(df: DataFrame, format: str = "FASTA", line_width: int = LINE_WIDTH) -> str:
     """All records as one string on the driver, in order: for small tables, as the name says."""
     order = [c for c in ("path", "block_start", "ordinal") if c in df.columns]

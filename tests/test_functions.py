@@ -110,3 +110,26 @@ def test_metadata(spark):
     assert rows["2"]["description"] is None
     got = spark.createDataFrame([(None, "b", "x", None)], "i1 string, i2 string, d1 string, d2 string").select(*M.concatenated(*(F.col(c) for c in ("i1", "i2", "d1", "d2")))).first()
     assert tuple(got) == ("b", "x + [unnamed]")
+
+
+def test_long_sequences_take_linear_time(spark, tmp_path):
+    """160,000 bases: a walk from the start at each place would take most of a minute."""
+    import time
+
+    from seqframe.plans.pairs import kmers
+
+    n = 160_000
+    spark.range(1).select(F.repeat(F.lit("ACGTTGCA"), n // 8).alias("s"), F.sequence(F.lit(0), F.lit(n - 1), F.lit(7)).alias("at")).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    for value in (F.size(S.find_all("s", "ACG")), F.size(kmers(F.col("s"), 11)), F.length(S.seq_slice("s", None, None, 3)), F.length(S.mask("s", "at"))):
+        one.select(value).first()
+        began = time.time()
+        one.select(value).first()
+        assert time.time() - began < 3
+    assert one.select(F.size(S.find_all("s", "ACG")).alias("n")).first()["n"] == n // 8
+
+
+def test_places_in_text_that_is_not_ascii(spark):
+    row = spark.createDataFrame([("éAéACé", [1, 4, 1])], "s string, at array<int>")
+    got = row.select(S.find_all("s", "éA").alias("f"), S.seq_slice("s", None, None, 2).alias("t"), S.mask("s", "at").alias("m")).first()
+    assert (got["f"], got["t"], got["m"]) == ([0, 2], "ééC", "éNéANé")

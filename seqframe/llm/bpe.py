@@ -7,7 +7,8 @@ longest suffix that begins some token. A state is that record since the last bou
 what no later step reads; what lies before is settled and emitted. States and transitions are made when first met and kept in
 a hash table of arrays, so that many pieces are read at once, a byte of each in a step. At MAX_STATES the states that were
 not met for the longest time are dropped, and made again when met again: reading goes on in the same way, memory is bounded
-and results never depend on it. A piece of any length takes linear time.
+and results never depend on it. A piece of any length takes linear time. A worker that has had no task for IDLE seconds lets go of
+what it remembers, since other stages run in the same workers.
 
 Texts are first cut into pieces by the pattern; results of space-led chunks are remembered in a bounded
 table. A chunk is looked up on its own only in texts where each space is followed by something that isn't white
@@ -24,8 +25,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import threading
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import column, mix
+from .common import column, mix, trim
 
-MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 200_000, 100_000, 150_000  # about 300 bytes a state, 170 a chunk, 100 a pair
-GROUP_CHARS = 1 << 21  # texts that are encoded at once
+MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 160_000, 80_000, 80_000  # about 300 bytes a state, 170 a chunk, 100 a pair
+IDLE = 5.0  # seconds after its last task until a worker lets go of all of these
+GROUP_CHARS = 1 << 19  # texts that are encoded at once
 FEW, SEEN = 24, 50_000  # pieces that are read one by one; transitions at hand then
 NONE = 1 << 60
 SPACE_THEN_SPACE = regex.compile(r" (?=\s)| \z")
@@ -51,7 +56,7 @@ class Node:
 
     def __init__(self, text: bytes, number: int, open_: tuple[int, ...]):
         self.text, self.number, self.open = text, number, open_  # open: where in it a suffix starts that begins a token, its end included
-        self.go: dict[int, tuple[tuple[tuple[int, int], ...], Node]] = {}
+        self.go: dict[int, tuple[tuple[int, ...], Node]] = {}
 
 
 class Transitions:
@@ -96,9 +101,11 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max(8, max_states)
-        self.bytes = {i: b for b, i in ranks.items()}
-        self.size = {i: len(b) for b, i in ranks.items()}
-        self.starts = {b[:n] for b in ranks for n in range(1, len(b))}
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes[i] = token
+        self.size = [len(b) for b in self.bytes]
+        self.ordered = sorted(ranks)
         self.nodes = [Node(b"", 0, (0,))]
         self.node_of = {b"": self.nodes[0]}
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -165,22 +172,27 @@ class Transducer:
         self.pairs[pair] = fits
         return fits
 
-    def _go(self, node: Node, byte: int) -> tuple[tuple[tuple[int, int], ...], Node]:
+    def _begins(self, text: bytes) -> bool:
+        """Whether a longer token begins with the text: the next one in order does."""
+        at = bisect_right(self.ordered, text)
+        return at < len(self.ordered) and self.ordered[at].startswith(text)
+
+    def _go(self, node: Node, byte: int) -> tuple[tuple[int, ...], Node]:
         text = node.text + bytes((byte,))
-        tokens = [(t, len(text) - i) for i in range(len(text)) if (t := self.ranks.get(text[i:])) is not None and self._made(t)]
-        rest = next(text[i:] for i in range(len(text) + 1) if i == len(text) or text[i:] in self.starts)
+        tokens = [t for i in range(len(text)) if (t := self.ranks.get(text[i:])) is not None and self._made(t)]
+        rest = next(text[i:] for i in range(len(text) + 1) if i == len(text) or self._begins(text[i:]))
         if rest not in self.node_of:
-            self.node_of[rest] = Node(rest, len(self.nodes), tuple(i for i in range(len(rest) + 1) if i == len(rest) or rest[i:] in self.starts))
+            self.node_of[rest] = Node(rest, len(self.nodes), tuple(i for i in range(len(rest) + 1) if i == len(rest) or self._begins(rest[i:])))
             self.nodes.append(self.node_of[rest])
         node.go[byte] = tuple(tokens), self.node_of[rest]
         return node.go[byte]
 
     def _last(self, last, tokens) -> int:
         """The one of the possible tokens that the encoding ends in; exactly one fits, so the last needs no proof."""
-        for token, size in tokens[:-1]:
-            if self._fits(last[-size], token):
+        for token in tokens[:-1]:
+            if self._fits(last[-self.size[token]], token):
                 return token
-        return tokens[-1][0]
+        return tokens[-1]
 
     def _held(self, state: int) -> tuple[Node, list[int]]:
         node, *last = array("i", self.states[state])
@@ -402,7 +414,7 @@ class Tokenizer:
     _open: dict[tuple[str, str], Tokenizer] = {}
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine, self.pattern = Transducer(ranks), regex.compile(pattern)
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         top = max(ranks.values()) + 1
         self.sizes, self.offsets, held = np.zeros(top, np.int64), np.zeros(top, np.int64), []
         at = 0
@@ -412,9 +424,38 @@ class Tokenizer:
             at += len(token)
         self.held = np.frombuffer(b"".join(held), np.uint8)
         self.names = [str(i) for i in range(top)]
+        self.lock, self.tasks, self.turn = threading.Lock(), 0, 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of what was remembered: it is made again when met again."""
+        self.machine = Transducer(self.ranks)
         self.chunks: dict[str, bytes] = {}  # ids as 32-bit numbers, of chunks without their space
         self.older: dict[str, bytes] = {}
 
+    @contextmanager
+    def task(self, idle: float = IDLE) -> Iterator[Tokenizer]:
+        """Around a task; when none has begun for `idle` seconds since the last one's end, forget()."""
+        with self.lock:
+            self.tasks += 1
+            self.turn += 1
+        try:
+            yield self
+        finally:
+            with self.lock:
+                self.tasks -= 1
+                turn = self.turn
+            trim()
+            timer = threading.Timer(idle, self._forget_if, (turn,))
+            timer.daemon = True
+            timer.start()
+
+    def _forget_if(self, turn: int) -> None:
+        with self.lock:
+            if not self.tasks and turn == self.turn:
+                self.forget()
+                trim()
+
     @classmethod
     def open(cls, path: str, pattern: str) -> Tokenizer:
         """One for each Python worker; path is a file of base64 tokens and ranks that each machine has."""
@@ -540,7 +581,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        tokenizer = Tokenizer.open(path, pattern)
+        with Tokenizer.open(path, pattern).task() as tokenizer:
+            yield from encoded(tokenizer, batches)
+
+    def encoded(tokenizer, batches):
         for batch in _rows(batches):
             ids = [x.astype(np.int32) for x in tokenizer.encode_many([t or "" for t in column(batch, "__text").to_pylist()])]
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
@@ -571,7 +615,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        tokenizer = Tokenizer.open(path, pattern)
+        with Tokenizer.open(path, pattern).task() as tokenizer:
+            yield from trip(tokenizer, batches)
+
+    def trip(tokenizer, batches):
         for batch in _rows(batches):
             sizes, names, texts, held = [], [], [], [np.zeros(0, np.int32)]
             for ids in tokenizer.encode_many([t or "" for t in column(batch, "__text").to_pylist()]):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,6 +89,14 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 19) ->
             at = to
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers live on under other stages."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser."""
     x = x ^ (x >> np.uint64(30))

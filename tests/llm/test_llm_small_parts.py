@@ -354,3 +354,14 @@ def test_html_long_attribute_values():
         began = time.perf_counter()
         html_extract.Blocks(hostile * 40_000 + "'\"" + "<p>")
         assert time.perf_counter() - began < 10
+
+
+def test_tokenizer_forgets_when_idle():
+    tokenizer = Tokenizer(TOY, r"\S+|\s+")
+    with tokenizer.task(idle=0.2):
+        before = [x.tolist() for x in tokenizer.encode_many(["abcab aab", "a bca"])]
+        time.sleep(0.4)
+        assert len(tokenizer.machine.states) > 1
+    time.sleep(0.6)
+    assert len(tokenizer.machine.states) == 1 and not tokenizer.chunks
+    assert [x.tolist() for x in tokenizer.encode_many(["abcab aab", "a bca"])] == before

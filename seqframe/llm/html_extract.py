@@ -14,6 +14,9 @@ are joined by a line feed. <br> is white space inside its block.
 
 Quoted attribute values may have any length and hold >.
 
+Time and memory are in proportion to a page. Pages are read in groups of GROUP_CHARS characters (a longer one alone), and
+the network runs over pages of like length, CELLS blocks at once (or one page).
+
 Defined cases: a null or empty page, or one without main text, has an empty text. Unclosed and stray tags are put up with;
 an unclosed comment, script or style lasts to the page's end. Repeated rows and null ids are returned as they are; an
 empty table gives an empty result. Other columns are left out unless in `keep`.
@@ -40,6 +43,7 @@ from .words import words
 
 PATHS, WORDS, WORD_SIZE, NUMBERS, HIDDEN = 2048, 1024, 6, 6, 16
 PAGES, PASSES, BATCH, RATE, SEED = 900, 8, 20, 0.012, 5
+GROUP_CHARS, CELLS = 1 << 21, 1 << 14
 #: A comment, declaration or the head of a tag; a tag's end is found by TagEnds.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)""", re.S)
 SPECIAL = re.compile(r"""[>"']""")
@@ -92,6 +96,7 @@ class Blocks:
         self.links: list[int] = []
         self._path: tuple[int, ...] = ()
         self._parts: list[str] = []
+        self._filled = False
         self._linked = 0
         self._read(page)
 
@@ -102,7 +107,7 @@ class Blocks:
                 self.texts.append(text)
                 self.paths.append(self._path)
                 self.links.append(self._linked)
-            self._parts, self._linked = [], 0
+            self._parts, self._linked, self._filled = [], 0, False
 
     def _read(self, page: str) -> None:
         stack: list[tuple[str, frozenset[int]]] = [("", frozenset())]
@@ -116,8 +121,8 @@ class Blocks:
                 if not open_["head"]:
                     text = html.unescape(raw)
                     if text.strip():
-                        if not any(p.strip() for p in self._parts):
-                            self._path = tuple(sorted(stack[-1][1]))
+                        if not self._filled:
+                            self._path, self._filled = tuple(sorted(stack[-1][1])), True
                         if open_["a"]:
                             self._linked += len(text)
                     self._parts.append(text)
@@ -199,7 +204,10 @@ class Labeller:
         """What reaches the gates from each block itself: blocks x 8H, and the mean word vectors."""
         ids, bounds, word_ids, word_bounds, numbers, _ = feats
         path, word, word_in, number = self.params[:4]
-        z = np.add.reduceat(path[ids], bounds[:-1], axis=0) if len(ids) else np.zeros((0, path.shape[1]), np.float32)
+        z = np.zeros((len(numbers), path.shape[1]), np.float32)
+        for a in range(0, len(z), 4096):  # rows of `path` are wide: gathered for some blocks at a time
+            ends = bounds[a : a + 4097]
+            z[a : a + 4096] = np.add.reduceat(path[ids[ends[0] : ends[-1]]], ends[:-1] - ends[0], axis=0)
         sums = np.zeros((len(numbers), WORD_SIZE), np.float32)
         some = np.flatnonzero(np.diff(word_bounds))
         if len(some):
@@ -232,16 +240,20 @@ class Labeller:
         index = np.where(mask, sizes[:-1][rows][:, None] + steps, 0)
         return z[index], mask, index
 
-    def score(self, pages: list[Blocks], most: int = 64) -> list[np.ndarray]:
-        """A probability for each block of each page. Pages of like length are run together."""
+    def score(self, pages: list[Blocks], most: int = 64, cells: int = CELLS) -> list[np.ndarray]:
+        """A probability for each block of each page. Pages of like length are run together: at most `most`, and `cells` blocks unless it is one page."""
         feats = features(pages)
         sizes = feats[-1]
         z, _ = self.inputs(feats)
         out = np.zeros(len(z))
         order = np.argsort(np.diff(sizes), kind="stable")
         order = order[np.diff(sizes)[order] > 0]
-        for at in range(0, len(order), most):
-            rows = order[at : at + most]
+        lengths, at = np.diff(sizes)[order], 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and to - at < most and (to + 1 - at) * lengths[to] <= cells:
+                to += 1
+            rows, at = order[at:to], to
             padded, mask, index = self._pad(z, sizes, rows)
             h = 4 * HIDDEN
             both = np.concatenate([self._walk(padded[:, :, :h], mask, 0), self._walk(padded[:, :, h:], mask, 1)], axis=2)
@@ -393,8 +405,10 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+            sizes, at = np.cumsum([0, *(len(t or "") for t in column(whole, "__html").to_pylist())]), 0
+            while at < whole.num_rows:
+                to = max(at + 1, min(at + 200, int(np.searchsorted(sizes, sizes[at] + GROUP_CHARS, "right")) - 1))
+                batch, at = whole.slice(at, to - at), to
                 read = [Blocks(t or "") for t in column(batch, "__html").to_pylist()]
                 texts = ["\n".join(t for t, p in zip(page.texts, marks.tolist(), strict=True) if p > 0.5) for page, marks in zip(read, shared.value.score(read), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow)

@@ -365,3 +365,20 @@ def test_tokenizer_forgets_when_idle():
     time.sleep(0.6)
     assert len(tokenizer.machine.states) == 1 and not tokenizer.chunks
     assert [x.tolist() for x in tokenizer.encode_many(["abcab aab", "a bca"])] == before
+
+
+def test_html_of_many_blocks():
+    """A page of 50,000 blocks beside tiny ones takes memory in proportion; empty inline parts take time in proportion."""
+    import tracemalloc
+
+    pages = [html_extract.Blocks("<ul>" + "<li>one more" * 50_000 + "</ul>"), *(html_extract.Blocks("<p>short") for _ in range(63))]
+    net = html_extract.Labeller()
+    tracemalloc.start()
+    scores = net.score(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(s) for s in scores] == [50_000] + [1] * 63 and peak < 200 << 20
+    assert np.allclose(scores[1], net.score([pages[1]])[0]) and np.allclose(scores[0], net.score([pages[0]])[0])
+    began = time.process_time()
+    assert html_extract.Blocks("<p>" + "<b> </b>" * 20_000 + "<b>x</b>" * 20_000).texts == ["x" * 20_000]
+    assert time.process_time() - began < 5

@@ -1,7 +1,8 @@
 """Connected components of a distributed graph by alternating large-star and small-star steps.
 
 Each step is an aggregation (combined before its shuffle) and a join back, never a list of neighbours, so a node with very
-many edges is no task of its own. Edges are written to the shared folder after each round.
+many edges is no list. Both sides of a join come straight from a shuffle, which is the form in which adaptive execution splits the
+edges of such a node over tasks. Edges are written to the shared folder after each round.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while seen[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least.repartition("u"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(least.repartition("u"), "u")
         moved = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.table(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = _sum(new)

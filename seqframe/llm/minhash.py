@@ -40,7 +40,7 @@ from .words import Words, grams, owner, words
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 FIRST_LEADERS, MORE_LEADERS = 2, 16
 CARRIED = ("share", "weight", "alone", "rare")
-CROWD, MAX_RARE, MAX_COMMON = 64, 128, 200_000
+CROWD, MAX_RARE, MAX_COMMON, MAX_MANY = 64, 128, 200_000, 10_000
 KNOWN = 64  # texts of which a worker keeps the elements
 _FIRST = -6  # the first region of ranks is [0, 2**_FIRST), the following ones double
 _LAST = 40
@@ -170,13 +170,12 @@ def _rarest(share: DataFrame, texts: DataFrame, parts: DataFrame, threshold: flo
 
     Two multisets of similarity t share an element among the first |x| - a + 1 of x and the first |y| - a + 1 of y, where
     a = t / (1 + t) (|x| + |y|), in any one order of elements; here those that few texts have come first. So in a crowd, pairs without
-    one in common are not compared. Elements are kept as 32-bit hashes, which can only let a pair through. Texts that need more than
-    MAX_RARE are left to be compared, and so are all if more than MAX_COMMON elements are common (they are sent to the workers).
+    one in common are not compared. Any order is exact, so that it is enough to put last the MAX_COMMON elements that most texts have
+    (they are sent to the workers, some MB at any size), and the others in order of their hashes. Elements are kept as 32-bit hashes,
+    which can only let a pair through. Texts that need more than MAX_RARE are left to be compared.
     """
     crowd = share.filter(F.col("most") >= CROWD).select("node")
-    common = parts.groupBy("element").agg(F.count("*").alias("n")).filter(F.col("n") >= CROWD // 2).select("element").limit(MAX_COMMON + 1).collect()
-    if len(common) > MAX_COMMON:
-        return crowd.select("node", F.lit(None).cast("array<int>").alias("rare"))
+    common = parts.groupBy("element").agg(F.count("*").alias("n")).filter(F.col("n") >= CROWD // 2).orderBy(F.desc("n"), "element").limit(MAX_COMMON).select("element").collect()
     shared = share.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in common], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +237,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     sketched = scratch.table(source.mapInArrow(_sketch(n_bands, rows), f"doc_id {kind}, node binary, bands array<bigint>"))
-    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
+    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
     nodes = scratch.table(nodes)
     at = nodes.select("node", F.explode("bands").alias("band"))
     shared = at.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
@@ -294,7 +293,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         own = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
         own = scratch.table(own)
         named = own.join(own.groupBy("comp").agg(F.min("id").alias("class_id")), "comp").select("node", "class_id")
-    return sketched.select("doc_id", "node").join(named, "node").select(F.col("doc_id").alias(id_col), "class_id")
+    # Texts with most copies are joined by broadcast, so that copies of one text are no task of their own.
+    many = F.broadcast(nodes.filter(F.col("copies") >= CROWD).orderBy(F.desc("copies"), "node").limit(MAX_MANY).select("node"))
+    rows = sketched.select("doc_id", "node")
+    of_many = rows.join(F.broadcast(named.join(many, "node", "left_semi")), "node")
+    of_few = rows.join(many, "node", "left_anti").join(named, "node")
+    return of_many.select(F.col("doc_id").alias(id_col), "class_id").union(of_few.select("doc_id", "class_id"))
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A cell has a score and a move (0 diagonal, 1 left: a gap in seq1, 2 up: a gap in seq2, 3 stop). A gap costs `extend`
 where the neighbour it comes from was itself such a gap, else `open`; so which of equal moves is chosen matters. Global and semi-global prefer diagonal, left,
-up; local prefers up, left, diagonal, stop. Cells of one anti-diagonal depend on the two before only, and are computed together.
+up; local prefers up, left, diagonal, stop. Cells of one anti-diagonal depend on the two before only, and are computed together, and so
+are those of many pairs of like length: shorter ones are filled up at their ends, where no cell of theirs looks.
 
 Pairs of any length are aligned. Every K-th anti-diagonal is kept, and the traceback computes the moves between two of them again, for the K rows it can
 reach: with K as in `_spacing`, memory grows as (m + n) ** (2/3) * min(m, n) ** (2/3) and the moves computed again are (m + n) * K. The score alone takes linear memory.
@@ -13,6 +14,7 @@ is by character, case matters. Empty input is an error.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,8 @@ from ..schema import ALIGN_STRUCT, SequenceError, by_place, col
 GLOBAL, LOCAL, SEMI_GLOBAL = "global", "local", "semiglobal"
 #: Pairs of at most so many cells keep the moves of the only pass.
 WHOLE_CELLS = 4_000_000
+#: Cells and pairs that are computed together.
+GROUP_CELLS, GROUP_PAIRS = 24_000_000, 256
 WIDTH = 60
 
 
@@ -70,31 +74,40 @@ def identity(a: str, b: str) -> float:
     return 100.0 * sum(x == y and x != "-" for x, y in zip(a, b, strict=True)) / len(a) if a else 0.0
 
 
+def _codes(texts: list[str], fill: int) -> np.ndarray:
+    """Code points, a text a row, filled up at the end."""
+    out = np.full((len(texts), max(map(len, texts))), fill, np.uint32)
+    for row, text in zip(out, texts, strict=True):
+        row[: len(text)] = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return out
+
+
 class _Sweep:
-    """Anti-diagonals in turn: of diagonal d, cell (i, d - i) stands at place i. Memory is linear."""
+    """Anti-diagonals in turn, of all pairs at once: of diagonal d, cell (i, d - i) stands at place i. Memory is linear."""
 
-    def __init__(self, seq1: str, seq2: str, mode: str, s: ScoringScheme):
-        if not seq1 or not seq2:
+    def __init__(self, seqs1: list[str], seqs2: list[str], mode: str, s: ScoringScheme):
+        if not all(seqs1) or not all(seqs2):
             raise SequenceError("alignment of an empty sequence")
         if mode not in (GLOBAL, LOCAL, SEMI_GLOBAL):
             raise SequenceError(f"unknown alignment type: {mode}")
-        self.m, self.n, self.mode, self.d = len(seq1), len(seq2), mode, 0
-        self.a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (seq1, seq2))
-        self.b = b[::-1].copy()
+        self.a, b = _codes(seqs1, 0xFFFFFFFE), _codes(seqs2, 0xFFFFFFFF)
+        self.b = b[:, ::-1].copy()
+        self.ms, self.ns = (np.array([len(x) for x in seqs]) for seqs in (seqs1, seqs2))
+        self.m, self.n, self.mode, self.d = self.a.shape[1], b.shape[1], mode, 0
         most = (self.m + self.n + 1) * max(abs(s.match), abs(s.mismatch), abs(s.gap_open), abs(s.gap_extend))
         self.kind = np.int32 if most < 1 << 30 else np.int64
         self.match, self.mismatch, self.open, self.more = (self.kind(x) for x in (s.match, s.mismatch, s.gap_open, s.gap_extend - s.gap_open))
         # Scores of the diagonal before this one and of this one; what the cells right of and below this one's score by a gap.
-        self.old, self.score, self.left, self.up = (np.zeros(self.m + 1, self.kind) for _ in range(4))
+        self.old, self.score, self.left, self.up = (np.zeros((len(seqs1), self.m + 1), self.kind) for _ in range(4))
 
     def state(self, first: int, last: int) -> tuple:
         """What step() goes on from, for the rows first..last."""
-        return self.d, first, *(x[first : last + 1].copy() for x in (self.old, self.score, self.left, self.up))
+        return self.d, first, *(x[:, first : last + 1].copy() for x in (self.old, self.score, self.left, self.up))
 
     def resume(self, state: tuple) -> None:
         self.d, first, *kept = state
         for x, part in zip((self.old, self.score, self.left, self.up), kept, strict=True):
-            x[first : first + len(part)] = part
+            x[:, first : first + part.shape[1]] = part
 
     def step(self, first: int, last: int, moves: bool) -> tuple[int, np.ndarray] | None:
         """Compute rows first..last of the next diagonal; the row of the first inner cell, and the moves from there on."""
@@ -102,9 +115,9 @@ class _Sweep:
         new, kept = self.old, None  # a cell needs old[i - 1] only, which is read before it is written
         lo, hi = max(1, d - self.n, first), min(self.m, d - 1, last)
         if lo <= hi:
-            diagonal = np.where(self.a[lo - 1 : hi] == self.b[self.n - d + lo : self.n - d + hi + 1], self.match, self.mismatch)
-            diagonal += self.old[lo - 1 : hi]
-            left, up = self.left[lo : hi + 1], self.up[lo - 1 : hi]
+            diagonal = np.where(self.a[:, lo - 1 : hi] == self.b[:, self.n - d + lo : self.n - d + hi + 1], self.match, self.mismatch)
+            diagonal += self.old[:, lo - 1 : hi]
+            left, up = self.left[:, lo : hi + 1], self.up[:, lo - 1 : hi]
             best = np.maximum(np.maximum(diagonal, left), up)
             if self.mode == LOCAL:
                 np.maximum(best, 0, out=best)
@@ -118,16 +131,16 @@ class _Sweep:
                 kept = is_left.view(np.int8) + 2 * is_up.view(np.int8)
                 if self.mode == LOCAL:
                     kept[best <= 0] = 3
-            new[lo : hi + 1] = best
+            new[:, lo : hi + 1] = best
             best += self.open
-            np.add(best, is_left * self.more, out=self.left[lo : hi + 1])
-            np.add(best, is_up * self.more, out=self.up[lo : hi + 1])
+            np.add(best, is_left * self.more, out=self.left[:, lo : hi + 1])
+            np.add(best, is_up * self.more, out=self.up[:, lo : hi + 1])
         edge = int(self.open) * d + int(self.more) * (d - 1) if self.mode == GLOBAL else 0  # open + (d - 1) * extend
         gap, longer = edge + int(self.open), edge + int(self.open) + int(self.more)
         if first == 0 and d <= self.n:  # in the first row, by gaps in seq1
-            new[0], self.left[0], self.up[0] = edge, gap if self.mode == LOCAL else longer, gap
+            new[:, 0], self.left[:, 0], self.up[:, 0] = edge, gap if self.mode == LOCAL else longer, gap
         if d <= min(self.m, last) and d >= first:  # in the first column, by gaps in seq2
-            new[d], self.left[d], self.up[d] = edge, gap, gap if self.mode == LOCAL else longer
+            new[:, d], self.left[:, d], self.up[:, d] = edge, gap, gap if self.mode == LOCAL else longer
         self.old, self.score = self.score, new
         return None if kept is None else (lo, kept)
 
@@ -137,12 +150,13 @@ def _spacing(m: int, n: int) -> int:
     return max(64, int((8 * (m + n) * min(m, n)) ** (1 / 3)))
 
 
-def _forward(sweep: _Sweep, kept: list | None, moves: list | None) -> tuple[int, int, int]:
-    """(score, i, j) of the last cell of the best alignment; fills in the states of every K-th diagonal, and all moves."""
-    m, n, mode = sweep.m, sweep.n, sweep.mode
-    every = _spacing(m, n)
-    row, column = np.zeros(n + 1, sweep.kind), np.zeros(m + 1, sweep.kind)
-    best = (0, 0, 0)
+def _forward(sweep: _Sweep, kept: list | None, moves: list | None) -> list[tuple[int, int, int]]:
+    """(score, i, j) of the last cell of each pair's best alignment; fills in the states of every K-th diagonal, and all moves."""
+    m, n, ms, ns, mode = sweep.m, sweep.n, sweep.ms, sweep.ns, sweep.mode
+    every, pairs = _spacing(m, n), np.arange(len(ms))
+    row, column = np.zeros((len(ms), n + 1), sweep.kind), np.zeros((len(ms), m + 1), sweep.kind)
+    best, best_i, best_d, places = np.zeros(len(ms), sweep.kind), pairs * 0, pairs * 0, np.arange(m + 1)
+    equal = (ms == m).all() and (ns == n).all()
     for d in range(m + n + 1):
         lo, hi = max(0, d - n), min(m, d)
         if d:
@@ -150,50 +164,50 @@ def _forward(sweep: _Sweep, kept: list | None, moves: list | None) -> tuple[int,
             if moves is not None:
                 moves.append(step)
         if mode == LOCAL:
-            i = lo + int(sweep.score[lo : hi + 1].argmax())
-            top = int(sweep.score[i])
+            part = sweep.score[:, lo : hi + 1]
+            if not equal:  # cells beyond a shorter pair's end
+                at = places[lo : hi + 1]
+                part = np.where((at <= ms[:, None]) & (d - at <= ns[:, None]), part, -1)
+            i = part.argmax(axis=1)
+            top = part[pairs, i]
             # The first in row-major order.
-            if top > best[0] or (top == best[0] > 0 and i < best[1]):
-                best = (top, i, d - i)
-        elif mode == SEMI_GLOBAL:
-            if d >= m:
-                row[d - m] = sweep.score[m]
-            if d >= n:
-                column[d - n] = sweep.score[d - n]
+            more = (top > best) | ((top == best) & (top > 0) & (i + lo < best_i))
+            best, best_i, best_d = np.where(more, top, best), np.where(more, i + lo, best_i), np.where(more, d, best_d)
+        else:
+            if mode == SEMI_GLOBAL:
+                at = np.flatnonzero((ms <= d) & (d <= ms + ns))
+                row[at, d - ms[at]] = sweep.score[at, ms[at]]
+                at = np.flatnonzero((ns <= d) & (d <= ms + ns))
+                column[at, d - ns[at]] = sweep.score[at, d - ns[at]]
+            at = np.flatnonzero(ms + ns == d)
+            best[at] = sweep.score[at, ms[at]]
         if kept is not None and d % every == 0:
             kept.append(sweep.state(max(0, lo - 1), hi))
-    if mode == GLOBAL:
-        return int(sweep.score[m]), m, n
-    if mode == SEMI_GLOBAL:
-        best = (int(row[n]), m, n)
-        if row.max() > best[0]:
-            best = (int(row.max()), m, int(row.argmax()))
-        if column.max() > best[0]:
-            best = (int(column.max()), int(column.argmax()), n)
-    return best
-
-
-def align_pair(seq1: str, seq2: str, mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> Alignment:
-    sweep = _Sweep(seq1, seq2, mode, scoring)
-    m, n = sweep.m, sweep.n
-    kept, moves = ([], None) if m * n > WHOLE_CELLS else (None, [None])
-    best, i, j = _forward(sweep, kept, moves)
+    if mode == LOCAL:
+        return [(int(x), int(i), int(d - i)) for x, i, d in zip(best, best_i, best_d, strict=True)]
+    ends = []
+    for p, (m, n) in enumerate(zip(ms.tolist(), ns.tolist(), strict=True)):
+        end = (int(best[p]), m, n)
+        if mode == SEMI_GLOBAL:
+            across, down = row[p, : n + 1], column[p, : m + 1]
+            if across.max() > end[0]:
+                end = (int(across.max()), m, int(across.argmax()))
+            if down.max() > end[0]:
+                end = (int(down.max()), int(down.argmax()), n)
+        ends.append(end)
+    return ends
+
+
+def _traced(seq1: str, seq2: str, mode: str, end: tuple[int, int, int], move) -> Alignment:
+    """The alignment that ends at a cell; move(i, j) is the cell's move."""
+    best, i, j = end
     if mode == LOCAL and best <= 0:
         return Alignment("", "", 0, 0, 0, 0, 0)
-    end1, end2, start = i, j, 0
-    tail1, tail2 = (seq1[i:] + "-" * (n - j), "-" * (m - i) + seq2[j:]) if mode == SEMI_GLOBAL else ("", "")
+    tail1, tail2 = (seq1[i:] + "-" * (len(seq2) - j), "-" * (len(seq1) - i) + seq2[j:]) if mode == SEMI_GLOBAL else ("", "")
     out1: list[str] = []
     out2: list[str] = []
     while i > 0 and j > 0:
-        if kept is not None and (moves is None or i + j <= start):
-            # Diagonals after the kept one before this cell, in the rows that a path from here can reach.
-            state = kept[(i + j - 1) // _spacing(m, n)]
-            sweep.resume(state)
-            start, d, moves = state[0], i + j, [None]
-            while sweep.d < d:
-                moves.append(sweep.step(max(0, i - (d - sweep.d - 1)), i, True))
-        first, row = moves[i + j - start]
-        step = int(row[i - first])
+        step = move(i, j)
         if step == 3:
             break
         if step == 0:
@@ -210,12 +224,77 @@ def align_pair(seq1: str, seq2: str, mode: str = GLOBAL, scoring: ScoringScheme
             out2.append("-")
     head1, head2 = ("", "") if mode == LOCAL else (seq1[:i] + "-" * j, "-" * i + seq2[:j])
     start1, start2 = (i, j) if mode == LOCAL else (0, 0)
-    return Alignment(head1 + "".join(reversed(out1)) + tail1, head2 + "".join(reversed(out2)) + tail2, best, start1, end1, start2, end2)
+    return Alignment(head1 + "".join(reversed(out1)) + tail1, head2 + "".join(reversed(out2)) + tail2, best, start1, end[1], start2, end[2])
+
+
+def _groups(pairs: list[tuple[str, str]]) -> Iterator[list[int]]:
+    """Places of pairs of like length, as many as are computed together; a large pair alone."""
+    order = sorted(range(len(pairs)), key=lambda p: (len(pairs[p][0]), len(pairs[p][1])))
+    group, m, n = [], 0, 0
+    for p in order:
+        m_new, n_new = max(m, len(pairs[p][0])), max(n, len(pairs[p][1]))
+        own = len(pairs[p][0]) * len(pairs[p][1])
+        # Not so many that their moves take more than GROUP_CELLS bytes, nor with one that would be more padding than cells.
+        if group and ((len(group) + 1) * m_new * n_new > GROUP_CELLS or len(group) == GROUP_PAIRS or m_new * n_new > 2 * max(own, 256) or own > WHOLE_CELLS):
+            yield group
+            group, m_new, n_new = [], len(pairs[p][0]), len(pairs[p][1])
+        group, m, n = [*group, p], m_new, n_new
+    if group:
+        yield group
+
+
+def align_pairs(pairs: list[tuple[str, str]], mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> list[Alignment]:
+    """The alignment of each pair, those of like length computed together."""
+    out: list[Alignment | None] = [None] * len(pairs)
+    for group in _groups(pairs):
+        seqs1, seqs2 = [pairs[p][0] for p in group], [pairs[p][1] for p in group]
+        sweep = _Sweep(seqs1, seqs2, mode, scoring)
+        if len(group) == 1 and sweep.m * sweep.n > WHOLE_CELLS:
+            out[group[0]] = _align_long(sweep, seqs1[0], seqs2[0])
+            continue
+        moves: list = [None]
+        ends = _forward(sweep, None, moves)
+        for k, p in enumerate(group):
+            out[p] = _traced(seqs1[k], seqs2[k], mode, ends[k], lambda i, j, k=k: moves[i + j][1][k, i - moves[i + j][0]])
+    return out
+
+
+def _align_long(sweep: _Sweep, seq1: str, seq2: str) -> Alignment:
+    """One pair whose moves would take too much memory: they are computed again between two of the kept diagonals."""
+    kept: list = []
+    (end,) = _forward(sweep, kept, None)
+    found: dict = {"start": 0, "moves": None}
+
+    def move(i: int, j: int) -> int:
+        if found["moves"] is None or i + j <= found["start"]:
+            # Diagonals after the kept one before this cell, in the rows that a path from here can reach.
+            state = kept[(i + j - 1) // _spacing(sweep.m, sweep.n)]
+            sweep.resume(state)
+            start, moves = state[0], [None]
+            while sweep.d < i + j:
+                moves.append(sweep.step(max(0, i - (i + j - sweep.d - 1)), i, True))
+            found.update(start=start, moves=moves)
+        first, row = found["moves"][i + j - found["start"]]
+        return row[0, i - first]
+
+    return _traced(seq1, seq2, sweep.mode, end, move)
+
+
+def align_pair(seq1: str, seq2: str, mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> Alignment:
+    return align_pairs([(seq1, seq2)], mode, scoring)[0]
+
+
+def score_pairs(pairs: list[tuple[str, str]], mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> list[int]:
+    """The scores alone, in memory linear in the lengths."""
+    out = [0] * len(pairs)
+    for group in _groups(pairs):
+        for p, end in zip(group, _forward(_Sweep([pairs[p][0] for p in group], [pairs[p][1] for p in group], mode, scoring), None, None), strict=True):
+            out[p] = end[0]
+    return out
 
 
 def score_pair(seq1: str, seq2: str, mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> int:
-    """The score alone, in memory linear in the lengths."""
-    return _forward(_Sweep(seq1, seq2, mode, scoring), None, None)[0]
+    return score_pairs([(seq1, seq2)], mode, scoring)[0]
 
 
 def align(seq1: Column | str, seq2: Column | str, mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> Column:
@@ -224,7 +303,9 @@ def align(seq1: Column | str, seq2: Column | str, mode: str = GLOBAL, scoring: S
     @F.pandas_udf(ALIGN_STRUCT)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         names = [part.split()[0] for part in ALIGN_STRUCT.split(", ")]
-        rows = [align_pair(x, y, mode, scoring).row() if x is not None and y is not None else ("", "", 0, 0, 0, 0, 0, 0.0) for x, y in zip(a, b, strict=True)]
+        there = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
+        made = iter(align_pairs([(x, y) for x, y, t in zip(a, b, there, strict=True) if t], mode, scoring))
+        rows = [next(made).row() if t else ("", "", 0, 0, 0, 0, 0, 0.0) for t in there]
         return pd.DataFrame(rows, columns=names)
 
     return F.when(col(seq1).isNotNull() & col(seq2).isNotNull(), run(col(seq1), col(seq2)))
@@ -245,7 +326,9 @@ def semi_global_align(seq1, seq2, scoring: ScoringScheme = ScoringScheme()) -> C
 def align_score(seq1: Column | str, seq2: Column | str, mode: str = GLOBAL, scoring: ScoringScheme = ScoringScheme()) -> Column:
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([score_pair(x, y, mode, scoring) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)], dtype="int32")
+        there = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
+        made = iter(score_pairs([(x, y) for x, y, t in zip(a, b, there, strict=True) if t], mode, scoring))
+        return pd.Series([next(made) if t else 0 for t in there], dtype="int32")
 
     return F.when(col(seq1).isNotNull() & col(seq2).isNotNull(), run(col(seq1), col(seq2)))
 

@@ -67,6 +67,18 @@ def test_alignment_from_kept_diagonals(x, y, mode, every):
         assert L.align_pair(x, y, mode).row() == want
 
 
+@given(st.lists(st.tuples(DNA, DNA), max_size=12), st.sampled_from([L.GLOBAL, L.LOCAL, L.SEMI_GLOBAL]))
+@settings(max_examples=100, deadline=None)
+def test_alignment_of_many_pairs(pairs, mode):
+    """Pairs that are filled up to one length give what each gives alone."""
+    alone = [L.align_pair(x, y, mode) for x, y in pairs]
+    with pytest.MonkeyPatch.context() as p:
+        p.setattr(L, "_groups", lambda pairs: [list(range(len(pairs)))] if pairs else [])
+        assert L.align_pairs(pairs, mode) == alone
+        assert L.score_pairs(pairs, mode) == [a.score for a in alone]
+    assert sorted(i for group in L._groups(pairs) for i in group) == list(range(len(pairs)))
+
+
 def test_alignment_of_long_pairs():
     x, y = "ACGT" * 4000, "ACGT" * 2000 + "A" + "ACGT" * 2000
     a = L.align_pair(x, y)

@@ -7,7 +7,7 @@ maximum (rectified); over the document, the largest and the mean of the chunks'
 into one probability.
 
 Training is on the driver, by Adam on the log loss, on a bounded sample: at most SAMPLE rows of each label, those with the
-least hash of doc_id, and of a long text TRAIN_CHUNKS chunks chosen at random in each pass. Labels are taken from rows with
+least hash of doc_id, up to SAMPLE_BYTES of text, and of a long text TRAIN_CHUNKS chunks chosen at random in each pass. Labels are taken from rows with
 crc32(doc_id as text) mod 5 <> 0 only; lang, source and doc_id are no inputs. Classes are weighted back to their share
 among all labelled rows, so the output is a probability. Scoring reads every byte of every text.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,7 +32,8 @@ from .common import column, slices
 
 WIDTH, STEP, WINDOWS, FILTERS = 8, 4, 64, 16
 CHUNK = WINDOWS * STEP + WIDTH - STEP
-SAMPLE, TRAIN_CHUNKS, BATCH, RATE = 1500, 24, 64, 0.01
+SAMPLE, SAMPLE_BYTES = 1500, 64 << 20  # of each label, and of all texts together: what a net is learned from
+TRAIN_CHUNKS, BATCH, RATE = 24, 64, 0.01  # chunks of a longer text that are drawn anew in each pass
 PASSES = 8, 60  # least and most; so many that about SHOWN texts are shown
 SHOWN = 30_000
 FOLDS, CUTOFF = 5, 0.3
@@ -87,7 +88,7 @@ class QualityNet:
         return 1 / (1 + np.exp(-(np.concatenate([top, mean], axis=1).astype(np.float64) @ self.weights + self.offset)))
 
     @classmethod
-    def train(cls, texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -> QualityNet:
+    def train(cls, texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7, train_chunks: int = TRAIN_CHUNKS) -> QualityNet:
         if not len(texts) or labels.min() == labels.max():
             return cls.constant(share)
         rng, passes = np.random.default_rng(seed), int(np.clip(SHOWN // len(texts), *PASSES))
@@ -102,7 +103,7 @@ class QualityNet:
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
-                picked = [np.sort(rng.choice(len(parts[i][0]), TRAIN_CHUNKS, replace=False)) if len(parts[i][0]) > TRAIN_CHUNKS else np.arange(len(parts[i][0])) for i in rows]
+                picked = [np.sort(rng.choice(len(parts[i][0]), train_chunks, replace=False)) if len(parts[i][0]) > train_chunks else np.arange(len(parts[i][0])) for i in rows]
                 made, used = (np.concatenate([parts[i][k][p] for i, p in zip(rows, picked, strict=True)]) for k in (0, 1))
                 first = np.concatenate([[0], np.cumsum([len(p) for p in picked])])
                 values = net.convolve(made, used)
@@ -131,8 +132,12 @@ class QualityNet:
         return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityNet:
-    """A net for label_col (0 or 1), from a bounded sample of the labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, **options) -> QualityNet:
+    """A net for label_col (0 or 1), from a sample of the labelled rows that are not held out.
+
+    The sample, in the order of a hash of the ids, ends at `sample` rows of each label, and with the text that brings it to
+    `sample_bytes`: the driver holds no more.
+    """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).filter(F.col("__label").isin(0, 1) & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
     shares = dict(known.groupBy("__label").count().collect())
     total = sum(shares.values())
@@ -141,8 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64("__id")
     few = known.filter("__label = 0").orderBy(order, "__id").limit(sample).union(known.filter("__label = 1").orderBy(order, "__id").limit(sample))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).join(F.broadcast(few), "__id")
-    rows = rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(2 * sample).collect()  # bounded by the sample
-    return QualityNet.train([r["__text"].encode() for r in rows], np.array([r["__label"] for r in rows]), shares[1] / total)
+    turn = (F.xxhash64("__id"), F.col("__id"), F.xxhash64("__text"))
+    size = F.octet_length("__text").cast("long")
+    before = F.sum(size).over(Window.orderBy(*turn).rowsBetween(Window.unboundedPreceding, 0)) - size  # over the rows of the sample only
+    rows = rows.orderBy(*turn).limit(2 * sample).withColumn("__before", before).filter(F.col("__before") < sample_bytes).collect()
+    return QualityNet.train([r["__text"].encode() for r in rows], np.array([r["__label"] for r in rows]), shares[1] / total, **options)
 
 
 def score(docs: DataFrame, net: QualityNet, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cutoff: float = CUTOFF) -> DataFrame:

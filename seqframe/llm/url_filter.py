@@ -71,6 +71,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     met = met.filter((F.col("digest") == F.col("url_digest")) & F.startswith(F.col("path"), F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
     best = F.max(F.struct(F.length(rule).alias("n"), (F.col("action") == "block").alias("b"), rule.alias("rule"), F.col("action").alias("action")))
-    best = met.groupBy("host", "path").agg(best.alias("best")).select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", "best.action")
-    out = parsed.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-    return out.select(id_col, *keep, "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
+    best = met.groupBy("host", "path").agg(best.alias("best")).select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("best.rule").alias("__rule"), F.col("best.action").alias("__action"))
+    # Urls without a host need no partner. Both sides of the join come straight from a shuffle, the form in which adaptive
+    # execution splits a very frequent url over tasks.
+    out = parsed.filter(F.col("host") != "").join(best.repartition("__h", "__p"), (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
+    none = F.lit(None).cast("string")
+    out = out.drop("__h", "__p").union(parsed.filter(F.col("host") == "").select("*", none, none))
+    return out.select(id_col, *keep, "host", "path", F.col("__rule").alias("rule"), F.coalesce("__action", F.lit(default)).alias("verdict"))

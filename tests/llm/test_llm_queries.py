@@ -83,6 +83,7 @@ def test_op1_edges(spark):
     few = quality_cnn.fit(many, labels, sample=20)  # more rows than are learned from
     got = quality_cnn.score(many, few).join(labels, "doc_id").filter("predicted <> quality").count()
     assert got == 0
+    assert not quality_cnn.fit(many, labels, sample_bytes=1).tables.any()  # one text, one label: a constant
 
 
 def test_op2(spark):

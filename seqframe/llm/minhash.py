@@ -10,8 +10,9 @@ Signatures are cut into BANDS bands of ROWS coordinates; documents that agree in
 a pair is missed with probability (1 - 0.8**5)**25 = 5e-5; at less it would not count. Candidates are confirmed by exact
 weighted Jaccard similarity of at least THRESHOLD, and classes are the connected components of confirmed pairs.
 
-Texts with the same words are one node from the start. In each band's bucket the pairs of all are never made: rounds
-choose leaders (those alone in their component first, then those with most company in their bands; up to two in the first round, sixteen times
+Texts with the same words are one node from the start. In each band's bucket the pairs of all are never made. Before all else
+each text is compared with two leaders of the largest bucket that it is in, and of that one only: which makes one component of most
+of a large group at a few pairs a text, not at as many for each band. Then rounds choose leaders (those alone in their component first, then those with most company in their bands; up to two in the first round, sixteen times
 as many each time), compare those with the members that have not led and are in other components, and go on only with buckets whose
 members that have not led are of two components or more. A bucket is finished when each of its pairs is in one component or was
 compared, so no link is lost between two components. Left out are only pairs that cannot reach the threshold: of a text's weight,
@@ -39,7 +40,7 @@ from .words import Words, grams, owner, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 FIRST_LEADERS, MORE_LEADERS = 2, 16
-CARRIED = ("share", "weight", "alone", "rare")
+CARRIED = ("share", "main", "weight", "alone", "rare")
 CROWD, MAX_RARE, MAX_COMMON, MAX_MANY = 64, 128, 200_000, 10_000
 KNOWN = 64  # texts of which a worker keeps the elements
 _FIRST = -6  # the first region of ranks is [0, 2**_FIRST), the following ones double
@@ -242,7 +243,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     at = nodes.select("node", F.explode("bands").alias("band"))
     shared = at.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     members = scratch.table(at.join(shared, "band"))
-    share = scratch.table(members.groupBy("node").agg(F.sum("n").alias("share"), F.max("n").alias("most")))
+    share = scratch.table(members.groupBy("node").agg(F.sum("n").alias("share"), F.max("n").alias("most"), F.max(F.struct("n", "band"))["band"].alias("main")))
     # Texts of the candidates, once for each node; shuffled at every size.
     texts = source.mapInArrow(_named, "node binary, text string").join(share.select("node").hint("merge"), "node", "left_semi")
     texts = scratch.table(texts.groupBy("node").agg(F.min("text").alias("text")))
@@ -256,7 +257,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     share = share.join(_rarest(share, texts, parts, threshold), "node", "left")
     members = members.select("band", "node").join(share, "node").select("band", "node", *CARRIED, F.col("node").alias("comp"), F.lit(False).alias("led"))
     members = scratch.table(members)
-    labels, lead = None, FIRST_LEADERS
+    labels, lead, opening = None, FIRST_LEADERS, True
     while members.limit(1).count():
         slot = F.pmod(F.xxhash64("node"), F.lit(lead)).alias("slot")
         free = members.filter(~F.col("led"))
@@ -267,7 +268,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         need = F.ceil(threshold / (1 + threshold) * (F.col("weight") + F.col("weight_u")) - 1e-9).cast("int")
         first = lambda rare, weight: F.slice(rare, 1, F.greatest(weight.cast("int") - need + 1, F.lit(0)))
         able &= F.coalesce(F.arrays_overlap(first(F.col("rare"), F.col("weight")), first(F.col("rare_u"), F.col("weight_u"))), F.lit(True))
-        pairs = free.join(leaders, (F.col("band") == F.col("band_u")) & (F.col("node") != F.col("u")) & (F.col("comp") != F.col("comp_u")) & able)
+        met = free.filter(F.col("band") == F.col("main")) if opening else free
+        pairs = met.join(leaders, (F.col("band") == F.col("band_u")) & (F.col("node") != F.col("u")) & (F.col("comp") != F.col("comp_u")) & able)
         ends = F.array_sort(F.array(F.struct(F.col("node").alias("n"), F.col("comp").alias("c")), F.struct(F.col("u").alias("n"), F.col("comp_u").alias("c"))))
         pairs = pairs.select(ends.alias("e")).distinct().select(F.col("e")[0]["n"].alias("u"), F.col("e")[1]["n"].alias("v"), F.col("e")[0]["c"].alias("cu"), F.col("e")[1]["c"].alias("cv"))
         found = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
@@ -281,12 +283,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 new = labels.join(step, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).union(new.join(labels, "node", "left_anti"))
             labels = scratch.table(new)
             members = members.join(step, "comp", "left").withColumn("comp", F.coalesce("root", "comp"))
-        members = members.join(leaders.select(F.col("band_u").alias("band"), F.col("u").alias("node"), F.lit(True).alias("now")), ["band", "node"], "left")
-        members = scratch.table(members.select("band", "node", *CARRIED, "comp", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")))
+        if not opening:  # leaders have met all members of their buckets
+            members = members.join(leaders.select(F.col("band_u").alias("band"), F.col("u").alias("node"), F.lit(True).alias("now")), ["band", "node"], "left")
+            members = members.select("band", "node", *CARRIED, "comp", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
+            lead *= MORE_LEADERS
+        members, opening = scratch.table(members.select("band", "node", *CARRIED, "comp", "led")), False
         alive = members.filter(~F.col("led")).groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
         alive = alive.filter(F.col("a") != F.col("b")).select("band")
         members = scratch.table(members.join(alive, "band", "left_semi"))
-        lead *= MORE_LEADERS
     if labels is None:
         named = nodes.select("node", F.col("id").alias("class_id"))
     else:

@@ -191,7 +191,9 @@ class LineIndex:
         self._recount(self.held, more.select("key").distinct())
 
     def delete(self, ids: DataFrame) -> None:
-        """Forget the documents with the ids in the column doc_id."""
+        """Forget the documents with the ids in the column doc_id; an index that holds none stays as it is."""
+        if not self.log:
+            return
         ids = self.scratch.table(ids.select("doc_id").distinct())
         keys = self.scratch.table(self.held.join(ids, "doc_id", "left_semi").select("key").distinct())
         self.log.append((False, ids))

@@ -1,4 +1,7 @@
 
+import random
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,6 +88,27 @@ def test_alignment_of_long_pairs():
     assert (a.score, len(a.seq1_aligned), a.seq1_aligned.count("-"), a.seq2_aligned) == (2 * 16000 - 2, 16001, 1, y)
 
 
+@pytest.mark.parametrize("mode", [L.GLOBAL, L.LOCAL, L.SEMI_GLOBAL])
+def test_alignment_work_for_a_cell(mode):
+    """A diagonal of many pairs is a few array operations in 16 bits, its moves two bits a cell."""
+    made = random.Random(5)
+    pairs = [(x, x[::-1]) for x in ("".join(made.choices("ACGTN", k=400)) for _ in range(40))]
+    sweep = L._Sweep([x for x, _ in pairs], [y for _, y in pairs], mode, L.ScoringScheme())
+    moves = L._Moves(sweep)
+    ends = L._forward(sweep, None, moves)
+    assert sweep.score.dtype == np.int16 and sum(block.nbytes for _, block in moves.blocks) <= 0.3 * 40 * 400 * 400
+    assert [x[0] for x in ends[:2]] == [plain(x, y, mode, L.ScoringScheme()) for x, y in pairs[:2]]
+
+
+@pytest.mark.parametrize("length, kind", [(16_000, np.int16), (17_000, np.int32)])
+def test_alignment_scores_fit_their_type(length, kind):
+    """The highest and the lowest score of a pair of that length: no character equal to any, and all."""
+    assert L._Sweep(["A" * length], ["C" * length], L.GLOBAL, L.ScoringScheme()).kind is kind
+    assert L.score_pair("A" * length, "A" * length) == 2 * length and L.score_pair("A" * length, "C" * length) == -length
+    a = L.align_pair("A" * length, "C", L.GLOBAL)
+    assert a.score == -1 - 2 - (length - 2) and len(a.seq1_aligned) == length
+
+
 def test_alignment_queries_read_whole_sequences(spark, tmp_path):
     s = "ACGT" * 15 + "GGATTACA" * 9
     spark.createDataFrame([(1, s, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")

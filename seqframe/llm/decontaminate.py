@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, column, mix, slices
+from .common import Scratch, column, mix, slices, trimmed
 from .words import Words, grams, owner, words
 
 SPAN, GRAM = 10, 5
@@ -171,7 +171,7 @@ def find_spans(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
     def one(part: int, over: DataFrame, names: list[str], own: list[pa.Field], schema: T.StructType) -> DataFrame:
         rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()  # bounded by broadcast_grams
         shared = sc.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], span, gram))
-        return over.mapInArrow(_search(shared, names, own), schema)
+        return over.mapInArrow(trimmed(_search(shared, names, own)), schema)
 
     if parts == 1:
         return one(0, source, list(keep), own_fields, fields)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SPACES, Scratch, column
+from .common import SPACES, Scratch, column, trimmed
 from .cuckoo import CuckooFilter, Full
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -69,7 +69,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                         ids += [doc] * len(held)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
-    return rows.mapInArrow(run, "key binary, doc_id long")
+    return rows.mapInArrow(trimmed(run), "key binary, doc_id long")
 
 
 def counts(held: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _probe_by_shard(held: DataFrame, blobs: DataFrame, shards: int) -> DataFrame
                     name, held = names[to], CuckooFilter.from_bytes(blobs[to].as_py())
                 at = to + 1
 
-    return both.mapInArrow(probe, "key binary, doc_id long")
+    return both.mapInArrow(trimmed(probe), "key binary, doc_id long")
 
 
 class LineIndex:
@@ -218,7 +218,7 @@ class LineIndex:
                     found[at] = f.contains(hashes[at])
                 yield batch.filter(pa.array(found)).select(["key", "doc_id"])
 
-        return held.withColumn("shard", shard_of("key", shards)).mapInArrow(probe, "key binary, doc_id long")
+        return held.withColumn("shard", shard_of("key", shards)).mapInArrow(trimmed(probe), "key binary, doc_id long")
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """docs with the lines gone from text_col, and the columns n_lines and n_dropped (in place of any of these names)."""
@@ -259,7 +259,7 @@ def _strip(joined: DataFrame, schema: T.StructType, text_col: str, min_chars: in
                 made = {text_col: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines), "n_dropped": pa.array(n_dropped)}
                 yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else column(batch, f.name) for f in arrow], schema=arrow)
 
-    return joined.select(*names, "__keys").mapInArrow(run, out)
+    return joined.select(*names, "__keys").mapInArrow(trimmed(run), out)
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, mix, slices
+from .common import Scratch, column, mix, slices, trimmed
 from .components import components
 from .words import Words, grams, owner, words
 
@@ -197,7 +197,7 @@ def _rarest(share: DataFrame, texts: DataFrame, parts: DataFrame, threshold: flo
                 out.append((mix(np.repeat(hashes[i:j], n) + copies.astype(np.uint64)) >> np.uint64(33)).astype(np.int32)[:keep].tolist())
             yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(out, pa.list_(pa.int32()))], ["node", "rare"])
 
-    return texts.join(crowd, "node", "left_semi").mapInArrow(run, "node binary, rare array<int>")
+    return texts.join(crowd, "node", "left_semi").mapInArrow(trimmed(run), "node binary, rare array<int>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -237,7 +237,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    sketched = scratch.table(source.mapInArrow(_sketch(n_bands, rows), f"doc_id {kind}, node binary, bands array<bigint>"))
+    sketched = scratch.table(source.mapInArrow(trimmed(_sketch(n_bands, rows)), f"doc_id {kind}, node binary, bands array<bigint>"))
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
     nodes = scratch.table(nodes)
     at = nodes.select("node", F.explode("bands").alias("band"))
@@ -245,13 +245,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     members = scratch.table(at.join(shared, "band"))
     share = scratch.table(members.groupBy("node").agg(F.sum("n").alias("share"), F.max("n").alias("most"), F.max(F.struct("n", "band"))["band"].alias("main")))
     # Texts of the candidates, once for each node; shuffled at every size.
-    texts = source.mapInArrow(_named, "node binary, text string").join(share.select("node").hint("merge"), "node", "left_semi")
+    texts = source.mapInArrow(trimmed(_named), "node binary, text string").join(share.select("node").hint("merge"), "node", "left_semi")
     texts = scratch.table(texts.groupBy("node").agg(F.min("text").alias("text")))
     # What of a node no other candidate has bounds its similarity to any of them: the weight alone, from counts of elements.
-    parts = texts.mapInArrow(_exploded, "element bigint, node binary, weight bigint")
+    parts = texts.mapInArrow(trimmed(_exploded), "element bigint, node binary, weight bigint")
     own = parts.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("weight").alias("weight")).filter("n = 1")
     own = own.groupBy("node").agg(F.sum("weight").alias("alone"))
-    weights = texts.mapInArrow(_weighed, "node binary, weight bigint").join(own, "node", "left").select("node", "weight", F.coalesce("alone", F.lit(0)).alias("alone"))
+    weights = texts.mapInArrow(trimmed(_weighed), "node binary, weight bigint").join(own, "node", "left").select("node", "weight", F.coalesce("alone", F.lit(0)).alias("alone"))
     # Nodes whose own part is too large have no link at all.
     share = share.join(weights, "node").filter(F.col("weight") - F.col("alone") >= threshold * F.col("weight") - 1e-9)
     share = share.join(_rarest(share, texts, parts, threshold), "node", "left")
@@ -274,7 +274,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         pairs = pairs.select(ends.alias("e")).distinct().select(F.col("e")[0]["n"].alias("u"), F.col("e")[1]["n"].alias("v"), F.col("e")[0]["c"].alias("cu"), F.col("e")[1]["c"].alias("cv"))
         found = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
         found = found.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-        edges = scratch.table(found.select("u", "v", "cu", "cv", "text_u", "text_v").mapInArrow(_confirm(threshold), "u binary, v binary").distinct())
+        edges = scratch.table(found.select("u", "v", "cu", "cv", "text_u", "text_v").mapInArrow(trimmed(_confirm(threshold)), "u binary, v binary").distinct())
         if edges.limit(1).count():
             merged = components(edges, scratch)
             step = merged.select(F.col("u").alias("comp"), "root")

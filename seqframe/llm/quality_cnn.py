@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import column, slices
+from .common import column, slices, trimmed
 
 WIDTH, STEP, WINDOWS, FILTERS = 8, 4, 64, 16
 CHUNK = WINDOWS * STEP + WIDTH - STEP
@@ -164,7 +164,7 @@ def score(docs: DataFrame, net: QualityNet, id_col: str = "doc_id", text_col: st
         for batch, data, offsets in slices(batches, "__text"):
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in (id_col, *keep, "__out")), pa.array(shared.value.score(data, offsets))], schema=arrow)
 
-    return source.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
+    return source.mapInArrow(trimmed(run), out).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
